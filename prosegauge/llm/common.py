@@ -77,6 +77,13 @@ class WordMemo(dict):
         return value
 
 
+def _column(column: pa.Array) -> np.ndarray:
+    """Values as numpy has them; as objects where some are null, so that integers stay exact."""
+    if column.null_count:
+        return np.array(column.to_pylist(), dtype=object)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def sorted_groups(
     batches: Iterator[pa.RecordBatch], keys: list[str]
 ) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
@@ -86,7 +93,7 @@ def sorted_groups(
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        columns = {n: _column(batch.column(n)) for n in batch.schema.names}
         change = np.zeros(batch.num_rows, dtype=bool)
         for k in keys:
             change[1:] |= columns[k][1:] != columns[k][:-1]
