@@ -95,19 +95,19 @@ def mix(
     mix_delivered holds (words, position) of each delivery, mix_position the first one's position,
     or null where nothing is taken. Rows come range-sorted by position, those not taken last.
     A null source is a source of its own, in the last place. Documents with equal ids are ordered
-    by size, then by a hash of the text. Null ids count as the empty string in the order. Columns
+    by size, then by a hash of the row. Null ids count as the empty string in the order. Columns
     of docs with the names above are replaced. Without words every target is 0. No rows: no rows.
     """
     made = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_delivered", "mix_position"]
     docs = docs.drop(*made)
-    keys = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_pg_row"),
-        F.col(source_col).alias("_pg_source"),
-        F.col(id_col).alias("_pg_id"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_pg_hash"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("mix_size"),
-        F.xxhash64(F.col(text_col)).alias("_pg_tie"),
-    ).withColumn("_pg_bucket", F.substring("_pg_hash", 1, hex_digits))
+    # Plain columns, so that those nobody reads are pruned before any shuffle; a key without null,
+    # so that the joins take the partitioning of the window.
+    keys = docs.withColumns({
+        "_pg_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")),
+        "_pg_hash": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")),
+        "mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long"),
+        "_pg_tie": F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant")),
+    }).withColumn("_pg_bucket", F.substring("_pg_hash", 1, hex_digits))
 
     sums = stored(
         keys.groupBy(F.col("_pg_source").alias("source"), F.col("_pg_bucket").alias("bucket")).agg(
@@ -115,39 +115,43 @@ def mix(
         ),
         "mix-sums",
     )
-    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_repeat)
+    by_source = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
+    named = by_source.withColumn("source", F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)))
+    goals = targets(named, weights, share, max_repeat).select(
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_pg_source"),
+        F.col("source_size").alias("mix_source_size"),
+        F.col("number").alias("_pg_number"),
+        F.col("target").alias("mix_target"),
+    )
     goals = _lookup(stored(goals, "mix-targets"))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
-        F.col("source").alias("start_source"),
-        F.col("bucket").alias("start_bucket"),
-        F.coalesce(F.sum("words").over(along), F.lit(0)).alias("start"),
+        F.col("source").alias("_pg_source"),
+        F.col("bucket").alias("_pg_bucket"),
+        F.coalesce(F.sum("words").over(along), F.lit(0)).alias("_pg_start"),
     )
 
-    same = Window.partitionBy("_pg_source", "_pg_bucket").orderBy("_pg_hash", "_pg_id", "mix_size", "_pg_tie")
+    same = Window.partitionBy("_pg_source", "_pg_bucket").orderBy("_pg_hash", id_col, "mix_size", "_pg_tie")
     inner = F.coalesce(F.sum("mix_size").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = (
         keys.withColumn("_pg_inner", inner)
-        .join(
-            starts,
-            F.col("_pg_source").eqNullSafe(F.col("start_source")) & (F.col("_pg_bucket") == F.col("start_bucket")),
-        )
-        .join(goals, F.col("_pg_source").eqNullSafe(F.col("source")))
-        .withColumn("_pg_before", F.col("_pg_inner") + F.col("start"))
+        .join(starts, ["_pg_source", "_pg_bucket"])
+        .join(goals, "_pg_source")
+        .withColumn("_pg_before", F.col("_pg_inner") + F.col("_pg_start"))
     )
 
-    words = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
-    rest = words - passes * F.col("source_size")
+    words = F.round("mix_target").cast("long")
+    passes = F.when(F.col("mix_source_size") > 0, F.floor(words / F.col("mix_source_size"))).otherwise(0).cast("long")
+    rest = words - passes * F.col("mix_source_size")
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), rest - F.col("_pg_before")))
     taken = passes * F.col("mix_size") + extra
 
     def at(number: Column, amount: Column) -> Column:
         """Position of the middle of a delivery in pass number."""
-        share_ = (number * F.col("source_size") + F.col("_pg_before") + amount / F.lit(2.0)) / words
+        share_ = (number * F.col("mix_source_size") + F.col("_pg_before") + amount / F.lit(2.0)) / words
         out = position(share_, schedules[-1])
         for k in range(len(schedules) - 1):
-            out = F.when(F.col("number") % len(schedules) == k, position(share_, schedules[k])).otherwise(out)
+            out = F.when(F.col("_pg_number") % len(schedules) == k, position(share_, schedules[k])).otherwise(out)
         return out
 
     whole = F.transform(
@@ -157,10 +161,10 @@ def mix(
     last = F.array(F.struct(extra.alias("words"), at(passes, extra).alias("position")))
     delivered = F.filter(F.concat(whole, last), lambda d: d["words"] > 0)
     result = placed.select(
-        "_pg_row.*",
+        *(f"`{c}`" for c in docs.columns),
         "mix_size",
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
+        "mix_source_size",
+        "mix_target",
         taken.alias("mix_taken"),
         delivered.alias("mix_delivered"),
         "_pg_hash",
