@@ -148,7 +148,7 @@ def mix(
 
     def at(number: Column, amount: Column) -> Column:
         """Position of the middle of a delivery in pass number."""
-        share_ = (number * F.col("mix_source_size") + F.col("_pg_before") + amount / F.lit(2.0)) / words
+        share_ = (number * F.col("mix_source_size") + F.col("_pg_before") + amount / F.lit(2.0)) / F.nullif(words, F.lit(0))
         out = position(share_, schedules[-1])
         for k in range(len(schedules) - 1):
             out = F.when(F.col("_pg_number") % len(schedules) == k, position(share_, schedules[k])).otherwise(out)

@@ -172,11 +172,19 @@ def candidates(manifest: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
                     offsets, ends = zip(*live, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([x["file"]] * len(live)), pa.array(offsets, pa.int64()), pa.array(ends, pa.int64())], ["file", "offset", "exit"])
 
-    return _dealt(_chunks(manifest, chunk_bytes)).mapInArrow(run, "file string, offset long, exit long")
+    work = _dealt(_chunks(manifest, chunk_bytes), _tasks(manifest, chunk_bytes))
+    return work.mapInArrow(run, "file string, offset long, exit long")
 
 
-def _dealt(chunks: DataFrame) -> DataFrame:
-    return chunks.repartition("file", "start")
+def _tasks(manifest: DataFrame, chunk_bytes: int) -> int:
+    """One task a chunk, up to a number that a job can plan."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return min(50_000, max(1, math.ceil(total / chunk_bytes)))
+
+
+def _dealt(chunks: DataFrame, tasks: int) -> DataFrame:
+    """Chunks over a stated number of tasks: their rows are few bytes, and would else be merged."""
+    return chunks.repartition(tasks, "file", "start")
 
 
 def reached_entries(links: DataFrame, chunks_per_file: int) -> DataFrame:
@@ -242,7 +250,8 @@ def read_archives(manifest: DataFrame, path: str, chunk_bytes: int = 4 << 20, pa
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    return work.select("file", "bytes", "start", "end", "offset").repartition("file", "start").mapInArrow(run, RECORDS)
+    dealt = _dealt(work.select("file", "bytes", "start", "end", "offset"), _tasks(manifest, chunk_bytes))
+    return dealt.mapInArrow(run, RECORDS)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
