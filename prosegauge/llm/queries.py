@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity, warc
+from . import mixing, packing, quality, simhash, substrings, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def _verdicts(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,10 +75,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op3_substrings": op3_substrings,
     "op4_simhash": op4_simhash,
     "op6_quality": op6_quality,
     "op7_pack": op7_pack,
     "op9_mix": op9_mix,
     "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {"op9_mix": mixing.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op3_substrings": substrings.ORACLE, "op9_mix": mixing.ORACLE, "op10_warc": warc.ORACLE}
