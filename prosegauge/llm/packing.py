@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +28,12 @@ END_ID = 2
 #: Letters and marks for which a word's ids are those of the lower-cased letters, then of the marks:
 #: letters that composition leaves alone, and marks without the apostrophe, which contractions use.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*$%&#]*)")
+#: Control characters that str.split() takes for white space and the tokenizer does not.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\r]+")
-#: Distinct words of which a worker remembers the ids.
-MEMO_WORDS = 400_000
-#: Characters of a text that are cut into words at a time.
+#: Distinct words, and distinct runs of letters, of which a worker remembers the ids.
+MEMO_WORDS = 600_000
+#: Characters of text that are looked at together.
 SLICE = 1 << 20
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -47,56 +49,89 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def split_words(text: str) -> list[str]:
+    return text.split() if not any(c in text for c in _CONTROLS) else [w for w in _SPACE.split(text) if w]
+
+
 class WordIds:
     """Ids of white-space separated words, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins tokens across it, so the ids of a text are
-    those of its words in order; words are encoded once while they are remembered.
+    For tokenizers that drop white space and join no tokens across it: the ids of a text are those
+    of its words in order. Words are encoded once while they are remembered; runs of plain letters
+    go straight to the tokenizer's model, which is what its other steps would hand them to.
     """
 
     def __init__(self, path: str, limit: int = MEMO_WORDS):
         self.tokenizer, self.limit = _tokenizer(path), limit
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if chr(c).isalpha()]
+        step = self.tokenizer.pre_tokenizer
+        self.letters = str.maketrans({c: "".join(p for p, _ in step.pre_tokenize_str(c)) for c in letters})
+        probe = "It's plain, WORDS élan!\nnaïve x1 straße"
+        whole = np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if b"".join(self.of([probe])) != whole:
+            raise ValueError("this tokenizer does not encode words independently of each other")
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.limit:
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of words that are not known yet."""
+        if len(self.words) + len(new) > self.limit:
             self.words.clear()
         if len(self.cores) > self.limit:
             self.cores.clear()
-        new = [w for w in words if w not in self.words]
-        simple = {w: (m[1].lower(), m[2]) for w in new if (m := _SIMPLE.fullmatch(w))}
-        need = list({p for pair in simple.values() for p in pair if p and p not in self.cores})
-        self.cores.update(zip(need, self._encode(need), strict=True))
-        cores = self.cores
-        for w, (core, marks) in simple.items():
-            self.words[w] = cores[core] + cores[marks] if marks else cores[core]
-        odd = [w for w in new if w not in simple]
-        self.words.update(zip(odd, self._encode(odd), strict=True))
-
-    def of(self, text: str) -> Iterator[bytes]:
-        """The ids of a text in runs of bounded size."""
+        cores, words, letters, model = self.cores, self.words, self.letters, self.tokenizer.model.tokenize
+        odd = []
+        for w in new:
+            m = _SIMPLE.fullmatch(w)
+            if m is None:
+                odd.append(w)
+                continue
+            core, marks = m.groups()
+            core = core.lower()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = b"".join([t.id.to_bytes(4, "little") for t in model(core.translate(letters))])
+            if marks:
+                if marks not in cores:
+                    cores[marks] = self._encode([marks])[0]
+                ids += cores[marks]
+            words[w] = ids
+        words.update(zip(odd, self._encode(odd), strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what is new in them is learned together."""
+        split = [split_words(t) for t in texts]
+        new = set().union(*split)
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+        new.difference_update(self.words)
+        self.learn(new)
+        known = self.words
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def runs(self, text: str) -> Iterator[bytes]:
+        """The ids of a long text in runs of bounded size."""
         at = 0
         while at < len(text):
             end = at + SLICE
             if end < len(text):  # end at white space; a longer run without any is taken whole
                 space = _SPACE.search(text, end)
                 end = space.end() if space else len(text)
-            words = [w for w in _SPACE.split(text[at:end]) if w]
-            known = self.words
-            try:
-                yield b"".join(map(known.__getitem__, words))
-            except KeyError:
-                self.learn(set(words))
-                yield b"".join(map(known.__getitem__, words))
+            yield self.of([text[at:end]])[0]
             at = end
 
 
-def pieces_of(runs: Iterator[bytes], length: int) -> list[tuple[int, int, int]]:
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """Kept by a worker from task to task."""
+    return WordIds(path)
+
+
+def pieces_of(runs: Iterable[bytes], length: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of a document's pieces: whole windows and the rest, END_ID last."""
     out, start, held, width = [], 0, bytearray(), 4 * length
 
@@ -122,33 +157,31 @@ def tokenized(docs: DataFrame, tokenizer_path: str, length: int, id_col: str, te
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = _word_ids(tokenizer_path)
         for batch in batches:
             texts = batch.column("txt")
-            # Words that are new are encoded together, for about a megabyte of text at a time.
-            waiting, ready = 0, 0
-            fresh: set[str] = set()
-            rows: list[list] = []
+            rows: list[tuple] = []
             where: list[int] = []
+            waiting: list[tuple[int, str]] = []
+            size = 0
 
-            def flush(upto: int) -> None:
-                ids.learn(fresh)
-                for k in range(ready, upto):
-                    got = pieces_of(ids.of(texts[k].as_py()), length)
-                    total = got[-1][0] + got[-1][1]
-                    rows.extend((s, n, c, total) for s, n, c in got)
-                    where.extend([k] * len(got))
+            def take(k: int, runs: Iterable[bytes]) -> None:
+                got = pieces_of(runs, length)
+                total = got[-1][0] + got[-1][1]
+                rows.extend((s, n, c, total) for s, n, c in got)
+                where.extend([k] * len(got))
 
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                waiting += len(text)
-                if len(text) <= SLICE:
-                    known = ids.words
-                    fresh.update(w for w in _SPACE.split(text) if w and w not in known)
-                if waiting > SLICE or k == batch.num_rows - 1:
-                    flush(k + 1)
-                    ready, waiting = k + 1, 0
-                    fresh.clear()
+                if len(text) > SLICE:
+                    take(k, ids.runs(text))
+                else:
+                    waiting.append((k, text))
+                    size += len(text)
+                if size > SLICE or k == batch.num_rows - 1:
+                    for (n, _), data in zip(waiting, ids.of([t for _, t in waiting]), strict=True):
+                        take(n, (data,))
+                    waiting, size = [], 0
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(where)), *columns], ["doc", *PIECES.replace(" long", "").split(", ")])
 

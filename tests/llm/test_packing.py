@@ -17,20 +17,20 @@ def whole_ids(text):
 
 TEXTS = [
     "", "Hello, WORLD!", "it's they'll don't I'M", "a\xa0b c\x0bd\x1ce", "Éôß ÀÉ é ño", "<|endoftext|> x<|startoftext|>y",
-    "123 4.5 foo!!! bar*** $$$ | x", "中文字符 한국어 emoji 😀", "İstanbul ǅ ﬁ", "  lead\n\ntail \t", "x" * 300,
+    "123 4.5 foo!!! bar*** $$$ | x", "中文字符 한국어 emoji 😀", "İstanbul ǅ ﬁ", "  lead\n\ntail \t", "x" * 300, "a\x85b\u2028c\u3000d ZÜRICH ÿ Ð÷× ª º",
 ]
 
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_ids_equal_those_of_the_whole_text(text):
-    got = b"".join(packing.WordIds(PATH).of(text))
+    got = packing.WordIds(PATH).of([text])[0]
     assert np.frombuffer(got, dtype="<u4").tolist() == whole_ids(text)[:-1]
 
 
 def test_long_texts_are_cut_at_white_space(monkeypatch):
     monkeypatch.setattr(packing, "SLICE", 50)
     text = " ".join(f"word{i}, it's" for i in range(200)) + "y" * 400
-    assert np.frombuffer(b"".join(packing.WordIds(PATH, limit=20).of(text)), dtype="<u4").tolist() == whole_ids(text)[:-1]
+    assert np.frombuffer(b"".join(packing.WordIds(PATH, limit=20).runs(text)), dtype="<u4").tolist() == whole_ids(text)[:-1]
 
 
 def test_sum_of_squares_by_brute_force():
