@@ -1,14 +1,68 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline over the documents table: score, de-duplicate, mask, mix and pack.
+
+Each stage works on all rows that its predecessor kept; the driver of a run writes its result as
+Parquet and reads it again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prosegauge.llm import mixing, packing, pii, quality, queries, simhash
+from prosegauge.llm.common import stored, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of at least 0.5).
+
+    The model is fitted to a bounded sample of the labelled rows of ``docs``. Rows with null texts
+    are scored as empty ones.
+    """
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, out_col="_pg_score")
+    return scored.where(F.col("_pg_score") >= 0.5).drop("_pg_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, that with the smallest id."""
+    return simhash.keep_representatives(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind; n_chars follows the text."""
+    masked = pii.mask_pii(docs, pii.fit_pii(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per delivery of a document, in training order; a source's last one is cut short."""
+    return mixing.deliver(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(docs, queries.tokenizer_path())
+
 
-from prosegauge.llm import queries  # noqa: F401
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the fingerprints; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

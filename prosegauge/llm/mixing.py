@@ -172,6 +172,26 @@ def mix(
     return result.orderBy(F.col("mix_position").asc_nulls_last(), "_pg_hash").drop("_pg_hash")
 
 
+def deliver(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """The mix itself: a row of docs for each delivery, in the order of training positions.
+
+    A delivery of fewer words than the document has keeps the text up to its last word; length_col,
+    if docs has it, then follows the text. Columns of docs only. See mix() for the options.
+    """
+    names = docs.columns
+    mixed = mix(docs, text_col=text_col, **options)
+    rows = mixed.select("*", F.explode("mix_delivered").alias("_pg_part"))
+    whole = F.col("_pg_part.words") >= F.col("mix_size")
+    ends = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+    head = F.array_join(F.slice(F.split(F.col(text_col), ends), 1, F.col("_pg_part.words").cast("int")), "")
+    text = F.when(whole, F.col(text_col)).otherwise(head)
+    cut = rows.withColumn("_pg_text", text).withColumn("_pg_at", F.col("_pg_part.position"))
+    new = {text_col: F.col("_pg_text")}
+    if length_col in names:
+        new[length_col] = F.when(whole, F.col(length_col)).otherwise(F.length("_pg_text").cast(docs.schema[length_col].dataType))
+    return cut.withColumns(new).orderBy("_pg_at").select(*(f"`{c}`" for c in names))
+
+
 #: DuckDB SQL for the query op9: the same targets, order and cuts over the documents table.
 ORACLE = r"""
 WITH sized AS (

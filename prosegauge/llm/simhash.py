@@ -206,3 +206,33 @@ def near_duplicates(
     ids = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
     by_print = stored(labelled.join(ids, "part").select("fp", "component_id"), "components")
     return prints.join(by_print, "fp").select(F.col("_pg_id").alias(id_col), "fp", "component_id")
+
+
+def keep_representatives(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = 4,
+    words_per_shingle: int = 4,
+) -> DataFrame:
+    """The rows of docs without near duplicates: one row of each group, that with the smallest id.
+
+    Of rows that share a group's smallest id, that with the smallest hash of the row stays; null
+    ids come last. Texts without words are one group. All columns are kept. No rows: no rows.
+    """
+    names = docs.columns
+    hashable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.withColumns({"_pg_id": F.col(f"`{id_col}`"), "_pg_hash": F.xxhash64(*hashable), "_pg_txt": F.col(f"`{text_col}`")})
+    marks = ["_pg_id", "_pg_hash"]
+    prints = stored(fingerprints(rows.select(*marks, "_pg_txt"), "_pg_txt", "fp", words_per_shingle), "simhash")
+    first = F.min(F.struct(F.col("_pg_id").isNull().alias("last"), "_pg_id", "_pg_hash"))
+    each = prints.groupBy("fp").agg(first.alias("first"))
+    parts = connected_components(links(each, max_bits))
+    labelled = each.join(parts, each["fp"] == parts["node"], "left").select("first", F.coalesce("component", "fp").alias("part"))
+    kept = stored(labelled.groupBy("part").agg(F.min("first").alias("f")).select(*(F.col(f"f.{c}") for c in marks)).distinct(), "kept")
+    # One small row a group; the texts meet it by id and row hash.
+    chosen = rows.join(kept.withColumnsRenamed({"_pg_id": "_pg_kid", "_pg_hash": "_pg_khash"}), F.col("_pg_id").eqNullSafe(F.col("_pg_kid")) & (F.col("_pg_hash") == F.col("_pg_khash")))
+    repeats = prints.groupBy(*marks).count().where("count > 1").join(kept, marks)
+    if repeats.limit(1).count() or prints.where("_pg_id is null").limit(1).count():  # rows that are equal throughout
+        chosen = chosen.dropDuplicates(["_pg_id", "_pg_hash"])
+    return chosen.select(*(f"`{c}`" for c in names))
