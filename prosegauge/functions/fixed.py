@@ -50,7 +50,7 @@ TRANSLATED = ("에 있어서?", "을 필요로", "를 필요로", "에 의해",
 FILLERS = ("에 대하여", "에 대한", "을 통하여", "를 통하여", "의 경우", "에 관하여", "함에 있어", "하는 것이 필요", "라고 할 수 있")
 QUOTED = r"\"[^\"\n]*\"|“[^”]*”|「[^」]*」|『[^』]*』"
 CHECK_BULLET = r"(?U)^(\s*)([□○◦▪■●•・·∙☐❍\-‑–—*※]|ㅇ(?=\s)|\d+[.)]|[가-힣][.)]|\(\d+\)|[①-⑳])\s*(.*)$"
-CHECK_STOP = r"^(?:\[표|\[그림|자료\s*:|주\s*:|※|\|)"
+CHECK_STOP = r"^(?:\[표|\[그림|자료|주:|※|\|)"
 
 # Tables whose first two header cells show bad examples.
 TEACHING_HEADERS = (
