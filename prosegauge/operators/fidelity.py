@@ -35,6 +35,11 @@ def compare(original: DataFrame, result: DataFrame, id_col: str = "id", text_col
     """
     a = token_rows(original, id_col, text_col).withColumnRenamed("n", "n_original")
     b = token_rows(result, id_col, text_col).withColumnRenamed("n", "n_result")
+    return verdicts_of(a, b)
+
+
+def verdicts_of(a: DataFrame, b: DataFrame) -> DataFrame:
+    """compare() of counted tokens: a has n_original, b has n_result."""
     both = a.join(b, ["id", "kind", "token"], "full").na.fill(0, ["n_original", "n_result"])
     verdict = F.when(F.col("n_original") == 0, "invented").when(F.col("n_result") < F.col("n_original"), "lost")
     return both.withColumn("verdict", verdict).where("verdict is not null")
