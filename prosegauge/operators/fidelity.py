@@ -74,17 +74,21 @@ def _grams(words: Column, k: Column) -> Column:
 
 
 def shingles(words: Column, k: int) -> Column:
-    """Runs of k words joined by spaces, each once."""
+    """Runs of k words joined by spaces, with repeats."""
     n = F.size(words) - k + 1
     starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
 
 
 def overlap(texts: DataFrame, examples: DataFrame, text_id: str, example_id: str, k: int = 4, text_col: str = "text") -> DataFrame:
-    """(text_id, example_id, n): shared runs of k words; the runs meet by value in a hash join."""
+    """(text_id, example_id, n): different shared runs of k words.
+
+    The runs meet by value in a hash join; repeats are dropped among the examples before it and
+    among the few matches after it.
+    """
     a = texts.select(text_id, F.explode(shingles(T.tokens(text_col), k)).alias("gram"))
-    b = examples.select(example_id, F.explode(shingles(T.tokens(text_col), k)).alias("gram"))
-    return a.join(b, "gram").groupBy(text_id, example_id).agg(F.count("*").alias("n"))
+    b = examples.select(example_id, F.explode(shingles(T.tokens(text_col), k)).alias("gram")).distinct()
+    return a.join(b, "gram").distinct().groupBy(text_id, example_id).agg(F.count("*").alias("n"))
 
 
 def fixed_regions(segments: DataFrame) -> DataFrame:

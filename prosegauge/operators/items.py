@@ -119,7 +119,8 @@ def doc_summary(lines: DataFrame, by: list[str], dialect: str = "nabo", most_hea
         F.slice(F.transform(F.array_sort(F.collect_list(F.struct("heading_no", "heading"))), lambda h: h["heading"]), 1, most_headings).alias("headings_approx"),
     )
     zero = {c: 0 for c in ("n_items", "n_L1", "n_L2", "n_L3", "n_headings_approx")}
-    return marks.join(counted, by, "left").join(named, by, "left").na.fill(zero)
+    out = marks.join(counted, by, "left").join(named, by, "left").na.fill(zero)
+    return out.withColumn("headings_approx", F.coalesce("headings_approx", F.array().cast("array<string>")))
 
 
 # Items of the checker
