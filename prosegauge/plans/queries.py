@@ -428,3 +428,17 @@ def rewrite_fidelity(spark, d):
 def turn_profile(spark, d):
     t = table(spark, d, "conversations")
     return t.groupBy("role").agg(F.count("*").alias("n_turns"), F.avg(F.length("text")).alias("mean_len"), T.share(F.trim("text").endswith("?")).alias("pct_question"))
+
+
+@query()
+def check_all_findings(spark, d):
+    from ..operators import acceptance
+
+    rows = X.frame(spark, X.REWRITES, "doc_id string, a string, b string")
+    return acceptance.check_all(rows.select("doc_id", F.col("b").alias("text")), rows.select("doc_id", F.col("a").alias("text")))
+
+
+@query("SELECT doc_id, round(n_bullets / n, 9) AS bullet_share FROM (SELECT doc_id, count(*) FILTER (regexp_matches(line, '^\\s*(?:[□○◦▪■●•・·∙☐❍\\-‑–—*※]|[0-9]+[.)]|[가-힣][.)]|\\([0-9]+\\)|[①-⑳])')) AS n_bullets, count(*) AS n "
+       "FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '^#+\\s*', ''), '\\*\\*|__|`', '', 'g') AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id)")
+def bullet_share(spark, d):
+    return corpus.genre_hint(documents(spark, d)).select("doc_id", F.round("bullet_share", 9).alias("bullet_share"))

@@ -211,3 +211,19 @@ def test_every_query_is_registered_with_known_columns(spark):
 
     flagship = __spark_entry__.entry(spark)
     assert flagship.count() > 0 and "clarity_index" in flagship.columns
+
+
+def test_acceptance(spark):
+    from prosegauge.operators import acceptance
+
+    rows = X.frame(spark, X.REWRITES, "doc_id string, a string, b string")
+    docs = rows.select("doc_id", F.col("b").alias("text"))
+    found = acceptance.check_all(docs, rows.select("doc_id", F.col("a").alias("text")))
+    got = {(r.doc_id, r.rule_id): r.blocks for r in found.where("checker = 'original'").collect()}
+    assert got["d1", "number:15"] and not got["d1", "number:12"] and not got["d1", "negation"]
+    assert {r.doc_id for r in acceptance.accepted(docs, found).where("not accepted").collect()} >= {"d1", "d3"}
+    absent = spark.createDataFrame([("x", "정확한 수는 확인되지 않았습니다. 그래서 300명으로 적었습니다. 끝입니다.")], "doc_id string, text string")
+    assert [r.sent_no for r in acceptance.fill_after_absence(absent).collect()] == [1]
+    assert acceptance.render("{{n:a}} {{one_in:b}} {{ratio:a/b}} {{t}}", {"a": 10, "b": 4}, {"t": "글"}) == "10 25 2.5 글"
+    with pytest.raises(KeyError):
+        acceptance.render("{{n:zz}}", {})
