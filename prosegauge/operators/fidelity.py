@@ -61,8 +61,9 @@ def missing_quotes(quotes: DataFrame, corpus: DataFrame, quote_col: str = "quote
     words = T.tokens(quote_col)
     q = quotes.select(F.col(quote_col).alias("quote"), F.least(F.size(words), F.lit(width)).alias("k"), words.alias("w")).where("k > 0")
     keyed = q.select("quote", "k", F.xxhash64(F.array_join(F.slice("w", 1, F.col("k")), " ")).alias("key"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: _grams(T.tokens(text_col), k)))
-    texts = corpus.select(T.collapsed(text_col).alias("t"), F.explode(F.array_distinct(grams)).alias("key"))
+    grams = F.flatten(F.array(*(_grams(F.col("_w"), F.lit(k)) for k in range(1, width + 1))))
+    bound = corpus.select(T.collapsed(text_col).alias("t"), T.tokens(text_col).alias("_w"))
+    texts = bound.select("t", F.explode(F.array_distinct(grams)).alias("key"))
     found = keyed.join(texts, "key").where(F.contains("t", T.collapsed("quote"))).select("quote").distinct()
     return q.select("quote").distinct().join(found, "quote", "left_anti")
 
@@ -86,8 +87,10 @@ def overlap(texts: DataFrame, examples: DataFrame, text_id: str, example_id: str
     The runs meet by value in a hash join; repeats are dropped among the examples before it and
     among the few matches after it.
     """
-    a = texts.select(text_id, F.explode(shingles(T.tokens(text_col), k)).alias("gram"))
-    b = examples.select(example_id, F.explode(shingles(T.tokens(text_col), k)).alias("gram")).distinct()
+    def grams(df: DataFrame, key: str) -> DataFrame:  # words are bound once, not once a run
+        return df.select(key, T.tokens(text_col).alias("_w")).select(key, F.explode(shingles(F.col("_w"), k)).alias("gram"))
+
+    a, b = grams(texts, text_id), grams(examples, example_id).distinct()
     return a.join(b, "gram").distinct().groupBy(text_id, example_id).agg(F.count("*").alias("n"))
 
 

@@ -25,8 +25,10 @@ def pages(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.regexp_replace(p, r"(?s)^.*?>>>", "").alias("body"),
         ),
     )
-    last = F.filter(entries, lambda e: ~F.exists(entries, lambda f: (f["page"] == e["page"]) & (f["at"] > e["at"])))
-    return docs.select(*rest, F.explode(last).alias("_p")).select(*rest, "_p.page", "_p.body")
+    # Entries are bound once; only their numbers are compared with each other.
+    bound = docs.select(*rest, entries.alias("_e")).withColumn("_n", F.transform("_e", lambda e: e["page"]))
+    last = F.filter("_e", lambda e: ~F.array_contains(F.slice("_n", e["at"] + 2, 1 << 30), e["page"]))
+    return bound.select(*rest, F.explode(last).alias("_p")).select(*rest, "_p.page", "_p.body")
 
 
 def lines(df: DataFrame, text_col: str = "text", keep_blank: bool = True) -> DataFrame:
