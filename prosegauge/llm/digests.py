@@ -3,7 +3,9 @@
 Windows of WINDOW bytes are taken where the bytes around their start say so, so that an edit
 moves only windows near it. The entropy of a window over byte classes, rounded to levels, is
 ranked by how rare its level is in the whole corpus; in each run of neighbouring windows the
-rarest wins, and windows that win several runs are the features of the text. Features go, in
+rarest wins (of equals, by a hash of its first bytes), and windows that win several runs, or the
+most where none does, are the features of the text. Windows with first bytes that the text had
+before are passed over. Features go, in
 order, into a chain of Bloom filters of fixed size, a new one after PER_FILTER features. Two
 fingerprints compare by the overlap of their filters' bits, normalised so that what chance alone
 would share counts as 0.
@@ -92,11 +94,17 @@ def features(text: bytes, rare: np.ndarray) -> np.ndarray:
     if len(data) < WINDOW:
         return np.array([xxhash.xxh3_64_intdigest(text)] if text else [], dtype=np.uint64)
     starts = windows(data)
+    # A window counts where its first bytes stand first, so repetition gives no neighbours of its own.
+    heads = data[starts[:, None] + np.arange(8)].view(np.uint64).ravel()
+    _, first = np.unique(heads, return_index=True)
+    first.sort()
+    starts, heads = starts[first], heads[first]
     if len(starts) > NEIGHBOURS:
-        ranks = rare[levels(data, starts)]
+        # Windows of one level are ordered by a hash of their first bytes, the same in any text.
+        ranks = rare[levels(data, starts)] + ((heads * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) * 2.0**-34
         runs = np.lib.stride_tricks.sliding_window_view(ranks, NEIGHBOURS)
-        best = runs.argmax(axis=1) + np.arange(len(runs))
-        starts = starts[np.bincount(best, minlength=len(starts)) >= WINS]
+        wins = np.bincount(runs.argmax(axis=1) + np.arange(len(runs)), minlength=len(starts))
+        starts = starts[wins >= min(WINS, wins.max())]
     digest = xxhash.xxh3_64_intdigest
     hashes = np.array([digest(text[s : s + WINDOW]) for s in starts.tolist()], dtype=np.uint64)
     _, first = np.unique(hashes, return_index=True)
