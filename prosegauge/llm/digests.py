@@ -128,12 +128,15 @@ def fingerprint(text: bytes | None, rare: np.ndarray) -> np.ndarray:
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """From 0 to 1: the mean, over the shorter chain's filters, of the best normalised overlap.
 
-    Equal fingerprints are 1. A filter without bits is like nothing but itself.
+    Equal fingerprints are 1; chains of one length take the mean of both directions. A filter
+    without bits is like nothing but itself.
     """
-    if a.shape == b.shape and (a == b).all():
-        return 1.0
-    if len(a) > len(b):
-        a, b = b, a
+    if len(a) == len(b):
+        return 1.0 if (a == b).all() else (_best_overlaps(a, b) + _best_overlaps(b, a)) / 2
+    return _best_overlaps(a, b) if len(a) < len(b) else _best_overlaps(b, a)
+
+
+def _best_overlaps(a: np.ndarray, b: np.ndarray) -> float:
     x, y = a.view(np.uint64), b.view(np.uint64)
     nx, ny = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
     total = 0.0
