@@ -70,7 +70,7 @@ def blog_posts(spark: SparkSession, path: str) -> DataFrame:
         F.try_to_date(F.try_element_at(parts, F.lit(1))).alias("date"),
         F.try_element_at(parts, F.lit(2)).alias("category"),
         F.trim(F.regexp_extract(t, r"(?m)^>\s+(.*)$", 1)).alias("excerpt"),
-        F.trim(F.regexp_replace(F.regexp_replace(t, r"(?m)^(?:#\s.*|<!--.*-->)$", ""), r"(?m)^>\s.*$", "")).alias("body"),
+        F.regexp_replace(F.regexp_replace(t, r"(?m)^(?:#\s.*|<!--.*-->|>\s.*)$", ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 
