@@ -11,6 +11,10 @@ by exact distance.
 Equal vectors are indexed once, with their smallest ids. Buckets are dealt to groups of bounded
 expected size, crowded ones in several parts that each probe visits. r is the median distance to
 the k-th neighbour of a bounded set of vectors, measured against all.
+
+r only starts the search. A query whose k-th found row lies farther than r goes on to probe until the
+recall asked for is reached at that distance, which no true neighbour exceeds; where that takes more
+probes than an exact search is worth, it is searched exactly.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ PROBE_VECTORS = 32
 GROUP_ROWS = 20_000
 #: Steps to either side that a function may be perturbed by.
 REACH = 4
+#: Distances that cost about as much as one more probe.
+PROBE_ROWS = 1000
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -93,15 +99,20 @@ def bucket(length: int, table: int, steps: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(np.array([length, table, *steps], dtype="<i8").tobytes()) - (1 << 63)
 
 
+def chances(x: np.ndarray, step: float, r: float) -> np.ndarray:
+    """function x shift (from -REACH): the chance of each step for a neighbour at distance r."""
+    edges = (np.arange(-REACH, REACH + 2)[None] - x[:, None]) * step / max(r, 1e-12) / math.sqrt(2)
+    below = np.array([[math.erf(e) for e in row] for row in edges])
+    return np.maximum(np.diff(below, axis=1) / 2, 1e-300)
+
+
 def probes(x: np.ndarray, step: float, r: float, enough: float) -> Iterator[tuple[int, ...]]:
     """Perturbations of the steps of a query in the order of their chance, until these sum to enough.
 
     x: where the query stands in its step of each function, from 0 to 1.
     """
     shifts = np.arange(-REACH, REACH + 1)
-    edges = (np.arange(-REACH, REACH + 2)[None] - x[:, None]) * step / max(r, 1e-12) / math.sqrt(2)
-    below = np.array([[math.erf(e) for e in row] for row in edges])
-    chance = np.maximum(np.diff(below, axis=1) / 2, 1e-300)
+    chance = chances(x, step, r)
     order = np.argsort(-chance, axis=1, kind="stable")
     sorted_ = np.log(np.take_along_axis(chance, order, axis=1))
     start = (0,) * len(x)
@@ -118,6 +129,29 @@ def probes(x: np.ndarray, step: float, r: float, enough: float) -> Iterator[tupl
                     heapq.heappush(heap, (cost + float(sorted_[j, s] - sorted_[j, s + 1]), after))
 
 
+def further_probes(x: np.ndarray, step: float, r: float, far: float, enough: float, most: int) -> list[tuple[int, ...]] | None:
+    """Perturbations beyond those of probes() at r until the chances at distance far sum to enough.
+
+    None where that takes over ``most`` of them or lies out of REACH.
+    """
+    visited = set(probes(x, step, r, enough))
+    chance = chances(x, step, far)
+    of = lambda shift: math.prod(float(chance[j, s + REACH]) for j, s in enumerate(shift))
+    reached, more = sum(map(of, visited)), []
+    if reached >= enough:
+        return more
+    for shift in probes(x, step, far, math.inf):
+        if shift in visited:
+            continue
+        if len(more) == most:
+            return None
+        more.append(shift)
+        reached += of(shift)
+        if reached >= enough:
+            return more
+    return None
+
+
 def typical_distance(points: DataFrame, k: int) -> float:
     """Median distance of PROBE_VECTORS vectors to their k-th neighbour among all."""
     some = points.orderBy(F.xxhash64("vec"), "vec").limit(PROBE_VECTORS).collect()
@@ -190,8 +224,9 @@ def nearest_neighbours(
     """query_id, rank (from 1), id_col and score (Euclidean distance): the k nearest found.
 
     Queries are the rows whose id is divisible by query_modulus; candidates are all other rows.
-    Vectors of different lengths are never compared. Ties go to the smaller id. A query that
-    finds fewer than k rows is searched exactly, so it has all candidates if there are fewer.
+    Vectors of different lengths are never compared. Ties go to the smaller id. A query whose k-th
+    found row is too far for the buckets visited probes further. One that finds fewer than k rows,
+    or would have to probe too much, is searched exactly; so it has all candidates if there are fewer.
     See valid_vectors() for rows that take no part; without any there are no rows.
     """
     rows = stored(valid_vectors(vectors, id_col, vec_col), "vectors")
@@ -243,18 +278,43 @@ def nearest_neighbours(
         .withColumn("part", F.pmod(F.xxhash64("ids"), parts).cast("int"))
         .select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "ids", "vec")
     )
-    asked = (
-        visits.join(crowded, "cell", "left")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "query", "vec")
-    )
-    found = stored(search_groups(index, asked, k), "found").distinct()
-    short = queries.join(found.groupBy("query").count().where(F.col("count") >= k), "query", "left_anti")
+
+    def asked(visits: DataFrame) -> DataFrame:
+        every = visits.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return every.select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "query", "vec")
+
+    found = stored(search_groups(index, asked(visits), k), "found").distinct()
+    best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    far = found.withColumn("rank", best).where(F.col("rank") == k).select("query", F.col("distance").alias("far"))
+    most = n // PROBE_ROWS
+
+    def visit_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Further visits of each query; one with a null cell where it is to be searched exactly."""
+        for batch in batches:
+            for rows_, m in by_length(batch.column("vec")):
+                part = batch.take(pa.array(rows_))
+                limits = part.column("far").to_pylist()
+                at = [(m @ a + b) / step for a, b in (projections(m.shape[1], t, functions, step) for t in range(tables))]
+                cells, source = [], []
+                for j in range(len(m)):
+                    own = [np.floor(x[j]).astype(np.int64) for x in at]
+                    more = [None if limits[j] is None else further_probes(x[j] - o, step, r, limits[j], enough, most) for x, o in zip(at, own, strict=True)]
+                    mine = [None] if None in more else [bucket(m.shape[1], t, own[t] + np.array(shift)) for t in range(tables) for shift in more[t]]
+                    cells += mine
+                    source += [j] * len(mine)
+                    if len(cells) > 20_000 or j == len(m) - 1:
+                        rows_of = part.take(pa.array(source, pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), rows_of.column("query"), rows_of.column("vec")], ["cell", "query", "vec"])
+                        cells, source = [], []
+
+    behind = queries.join(far, "query", "left").where(F.col("far").isNull() | (F.col("far") > r))
+    further = stored(behind.select("query", "vec", "far").mapInArrow(visit_further, f"cell long, query long, vec {kind}"), "further")
+    again = search_groups(index, asked(further.where(F.col("cell").isNotNull())), k)
+    short = further.where(F.col("cell").isNull()).select("query", "vec")
     exact_groups = max(1, math.ceil(n / GROUP_ROWS))
     length = F.size("vec").cast("long").alias("cell")
     all_points = points.select(F.pmod(F.xxhash64("vec"), F.lit(exact_groups)).alias("grp"), length, "ids", "vec")
     all_short = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(exact_groups - 1).cast("long"))).alias("grp"), length, "query", "vec")
     more = search_groups(all_points, all_short, k)
-    best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    ranked = found.unionByName(more).distinct().withColumn("rank", best).where(F.col("rank") <= k)
+    ranked = found.unionByName(again).unionByName(more).distinct().withColumn("rank", best).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("distance").alias("score"))

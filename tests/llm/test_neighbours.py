@@ -71,3 +71,27 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     got = {(r.query_id, r.vec_id) for r in neighbours.nearest_neighbours(frame, query_modulus=50).collect()}
     want = {(q, i) for q, _, i, _ in brute(vectors, 10, 50)}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_queries_in_sparse_parts_keep_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 300)  # several groups, so that queries find more than k rows
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 8))
+    vectors = {2 * i + 1: (centres[i % 60] + 0.25 * rng.normal(size=8)).tolist() for i in range(2400)}
+    vectors |= {2 * i: rng.normal(size=8).tolist() for i in range(1200)}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest_neighbours(frame, query_modulus=20).collect()}
+    want = {(q, i) for q, _, i, _ in brute(vectors, 10, 20)}
+    assert len(got & want) >= 0.97 * len(want)
+
+
+def test_further_probes_reach_the_chance_at_the_found_distance():
+    x = np.array([0.1, 0.5])
+    first = list(neighbours.probes(x, 1.5, 1.0, 0.8))
+    more = neighbours.further_probes(x, 1.5, 1.0, 2.0, 0.8, 100)
+    chance = neighbours.chances(x, 1.5, 2.0)
+    total = [math.prod(chance[j, s + neighbours.REACH] for j, s in enumerate(shift)) for shift in first + more]
+    assert more and not set(more) & set(first) and sum(total) >= 0.8 > sum(total[:-1])
+    assert neighbours.further_probes(x, 1.5, 1.0, 1.0, 0.8, 0) == []
+    assert neighbours.further_probes(x, 1.5, 1.0, 2.0, 0.8, len(more) - 1) is None
+    assert neighbours.further_probes(x, 1.5, 1.0, 50.0, 0.8, 100) is None
