@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordMemo, as_bytes
-from .training import fold, labelled_sample, platt, sigmoid
+from .training import LEAST_OF_CLASS, fold, labelled_sample, platt, sigmoid
 
 BITS = 17
 BYTE_GRAMS = (1, 2, 3)
@@ -126,7 +126,7 @@ class QualityModel:
 def train(texts: list[bytes], y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> QualityModel:
     """A model; of one class only, or of nothing, it scores the smoothed share of label 1 throughout."""
     up, n = int(y.sum()), len(y)
-    if min(up, n - up) < 5:
+    if min(up, n - up) < LEAST_OF_CLASS:
         prior = (up + 1) / (n + 2)
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, float(np.log(prior / (1 - prior))))
     memo = WordMemo(shape)

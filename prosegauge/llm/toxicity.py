@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WordMemo, as_bytes
 from .quality import held_out  # noqa: F401  (the fold of the query)
-from .training import labelled_sample, sigmoid
+from .training import LEAST_OF_CLASS, labelled_sample, sigmoid
 
 HASH_BITS = 18
 DIM = 8
@@ -149,7 +149,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 10, batch: int = 32,
     up, n = int(y.sum()), len(y)
     prior = float(np.log((up + 1) / (n - up + 1)))
     model = ToxicityModel(tables, filters, biases, out, prior, np.zeros(len(LANGUAGES)))
-    if min(up, n - up) < 5:
+    if min(up, n - up) < LEAST_OF_CLASS:
         return model
     memo = WordMemo(word_code)
     coded = [np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(bytes.split, texts)]

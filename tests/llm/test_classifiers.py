@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from prosegauge.llm import quality, toxicity
+from prosegauge.llm import quality, toxicity, training
 from prosegauge.llm.common import WordMemo, table
 from prosegauge.llm.training import fold, platt
 
@@ -103,3 +103,36 @@ def test_held_out_accuracy_and_edge_rows(spark, kind):
     assert score(odd.limit(0), model).count() == 0
     empty = labels.limit(0)
     assert (quality.fit_quality if kind == "quality" else toxicity.fit_toxicity)(docs, empty) is not None
+
+
+def test_long_texts_do_not_shrink_the_sample(spark):
+    texts, y = texts_and_labels(200, 4)
+    docs = [(i, t.decode()) for i, t in enumerate(texts)]
+    long = " ".join(f"begin{i} " + "alpha1 beta2 " * 4000 + f"end{i}" for i in range(6))
+    docs[:60] = [(i, long) for i in range(60)]  # 312 kB each, of 500 kB together
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got, of = training.labelled_sample(rows, labels, "quality", 3, 1, 3000, 500_000)
+    whole, same = training.labelled_sample(rows, labels, "quality", 3, 1, 3000, 1 << 40)
+    assert (of == same).all() and len(got) == len(whole) > 100 and sum(map(len, got)) <= 500_000
+    assert all(a == b for a, b in zip(got, whole, strict=True) if len(b) < 10_000)
+    cut = [a for a, b in zip(got, whole, strict=True) if len(b) >= 10_000]
+    assert cut and all(len(a) > 4000 and a.startswith(b"begin0") and a.endswith(b"end5") for a in cut)
+    assert {w for a in cut for w in a.split()} <= set(long.encode().split())
+
+
+def test_shares_and_excerpts():
+    assert training.fair_share(np.array([5, 100, 1]), 20) == 14 and training.fair_share(np.array([5, 6]), 20) == 6
+    assert training.fair_share(np.array([], dtype=int), 20) == 0 and training.fair_share(np.array([9, 9, 9]), 20) == 6
+    for n in (0, 5, 16, 40, 400):
+        for text in (b"x" * 1000, b"ab cd " * 200):
+            assert len(training.excerpt(text, n)) <= n
+
+
+def test_too_few_of_a_class_raise(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS quality", "int(doc_id % 3 = 0) AS toxic")
+    for fit in (quality.fit_quality, toxicity.fit_toxicity):
+        with pytest.raises(ValueError, match="at least 5 of each"):
+            fit(docs, labels, sample_rows=7)
+        assert fit(docs.limit(0), labels) is not None
