@@ -4,9 +4,9 @@ Base spans come from four fixed patterns. Beside them, wider patterns propose ca
 phone numbers that a base pattern swallowed in a longer run of digits, spelled-out addresses, and
 secrets. On each candidate the labelers vote for, against or not at all: the base pattern, a
 gazetteer (issuer prefixes, country codes, domain endings, key names), cue words before it, its
-grouping, and a check of its content. The votes of all documents are counted by pattern, a table of
-fixed size; expectation-maximisation over it estimates how reliable each labeler is for each kind,
-without labels. Its posteriors train the final span classifier, a logistic model over the form of a
+grouping, and a check of its content. The votes of all documents are counted by pattern, and every
+pattern counts; expectation-maximisation over the counts by votes estimates how reliable each labeler
+is for each kind, without labels. Its posteriors train the final span classifier, a logistic model over the form of a
 candidate and its neighbours. Candidates that it accepts are added where no base span lies.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .common import stored
 
 #: Kinds in the order of the results; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -238,44 +238,122 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return shares[0], shares[1], prior, posterior
 
 
-def fit_from_counts(rows: list[tuple[str, str, int]]) -> PiiModel:
-    """The model of (kind, pattern, count) rows; pattern is "votes;form features joined by |"."""
-    model = PiiModel()
-    for kind in KINDS:
-        own = sorted((p, n) for k, p, n in rows if k == kind)
+def parted(pattern: str) -> tuple[tuple[int, ...], list[str]]:
+    """(votes, form features) of a pattern, "votes;form features joined by |"."""
+    votes, form = pattern.split(";", 1)
+    return tuple(map(int, votes.split(","))), form.split("|")
+
+
+#: Gradient and Hessian, without the penalty, of the loss of each kind at its weights.
+Slopes = Callable[[dict[str, np.ndarray]], dict[str, tuple[np.ndarray, np.ndarray]]]
+
+
+def slopes(rows: list[tuple[str, str, int]], trust: dict[str, dict[tuple, float]], index: dict[str, dict[str, int]], weights: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """What (kind, pattern, count) rows add to the slopes of the kinds in weights.
+
+    trust: the posterior by kind and votes; index: the place of each form feature in the weights.
+    """
+    out = {}
+    for kind, w in weights.items():
+        own = [(*parted(p), n) for k, p, n in rows if k == kind]
         if not own:
             continue
-        votes = np.array([[int(v) for v in p.split(";", 1)[0].split(",")] for p, _ in own])
-        counts = np.array([n for _, n in own], dtype=float)
-        good, bad, prior, posterior = expectation_maximisation(votes, counts)
+        counts = np.array([n for _, _, n in own], dtype=float)
+        posterior = np.array([trust[kind][v] for v, _, _ in own])
+        at = np.array([[0, *(index[kind][f] for f in form)] for _, form, _ in own])
+        p = 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -35, 35)))
+        bend = counts * np.maximum(p * (1 - p), 1e-6)
+        gradient = np.bincount(at.ravel(), np.repeat(counts * (p - posterior), at.shape[1]), len(w))
+        pairs = (at[:, :, None] * len(w) + at[:, None, :]).reshape(len(own), -1)
+        hessian = np.bincount(pairs.ravel(), np.repeat(bend, pairs.shape[1]), len(w) ** 2).reshape(len(w), -1)
+        out[kind] = gradient, hessian
+    return out
+
+
+def fit_by_votes(votes: dict[str, dict[tuple, int]], names: dict[str, list[str]], slopes_at: Callable[[dict, dict], Slopes]) -> PiiModel:
+    """The model of the counts by kind and votes, the form features of each kind, and the slopes
+    that slopes_at() gives for (trust, index), see slopes()."""
+    model, trust = PiiModel(), {}
+    index = {kind: {f: k + 1 for k, f in enumerate(names[kind])} for kind in votes}
+    for kind in KINDS:
+        if kind not in votes:
+            continue
+        own = sorted(votes[kind])
+        good, bad, prior, posterior = expectation_maximisation(np.array(own), np.array([votes[kind][v] for v in own], dtype=float))
         model.reliability[kind] = (good, bad, prior)
-        forms = [p.split(";", 1)[1].split("|") for p, _ in own]
-        names = sorted({f for form in forms for f in form})
-        index = {f: k + 1 for k, f in enumerate(names)}
-        x = np.zeros((len(own), len(names) + 1))
-        x[:, 0] = 1
-        for r, form in enumerate(forms):
-            x[r, [index[f] for f in form]] = 1
-        w = np.zeros(x.shape[1])
-        for _ in range(30):  # Newton steps of the penalised logistic loss on soft labels
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        trust[kind] = dict(zip(own, posterior.tolist(), strict=True))
+    sums = slopes_at(trust, index)
+    weights = {kind: np.zeros(len(index[kind]) + 1) for kind in trust}
+    still = dict(weights)
+    for _ in range(30):  # Newton steps of the penalised logistic loss on soft labels
+        for kind, (gradient, hessian) in sums(still).items():
+            w = weights[kind]
             penalty = np.full(len(w), 0.05)
-            gradient = x.T @ (counts * (p - posterior)) + penalty * w
-            hessian = (x.T * (counts * np.maximum(p * (1 - p), 1e-6))) @ x + np.diag(penalty)
-            step = np.linalg.solve(hessian, gradient)
-            w -= step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
+            step = np.linalg.solve(hessian + np.diag(penalty), gradient + penalty * w)
+            weights[kind] = w - step * min(1.0, 5 / max(1e-9, float(np.abs(step).max())))
+            still[kind] = weights[kind]
             if np.abs(step).max() < 1e-6:
-                break
-        model.weights[kind] = {"bias": float(w[0])} | {f: float(w[k]) for f, k in index.items()}
+                del still[kind]
+        if not still:
+            break
+    for kind, w in weights.items():
+        model.weights[kind] = {"bias": float(w[0])} | {f: float(w[k]) for f, k in index[kind].items()}
     return model
 
 
-#: Distinct patterns that are kept for training; forms are few, and rarer ones change no weight.
-MOST_PATTERNS = 20_000
+def fit_from_counts(rows: list[tuple[str, str, int]]) -> PiiModel:
+    """The model of (kind, pattern, count) rows; pattern is "votes;form features joined by |"."""
+    rows = sorted(rows)
+    votes: dict[str, Counter] = {}
+    names: dict[str, set] = {}
+    for kind, pattern, n in rows:
+        v, form = parted(pattern)
+        votes.setdefault(kind, Counter())[v] += n
+        names.setdefault(kind, set()).update(form)
+    return fit_by_votes(votes, {k: sorted(f) for k, f in names.items()}, lambda trust, index: lambda w: slopes(rows, trust, index, w))
+
+
+def fit_from_table(counted: DataFrame) -> PiiModel:
+    """fit_from_counts() of a table (kind, pattern, n) of any length: only counts by votes (3^5 a
+    kind at most), the names of the features, and sums over pairs of features reach the driver."""
+    votes: dict[str, dict] = {}
+    for kind, v, n in counted.groupBy("kind", F.split("pattern", ";")[0].alias("v")).agg(F.sum("n")).collect():
+        votes.setdefault(kind, {})[parted(f"{v};")[0]] = n
+    names: dict[str, list] = {}
+    form = F.explode(F.split(F.split("pattern", ";", 2)[1], "\\|"))
+    for kind, f in counted.select("kind", form.alias("f")).distinct().collect():
+        names.setdefault(kind, []).append(f)
+
+    def slopes_at(trust: dict, index: dict) -> Slopes:
+        def sums(weights: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "pattern", "n")), strict=True))
+                    for kind, (gradient, hessian) in slopes(rows, trust, index, weights).items():
+                        every = np.vstack([gradient, hessian])
+                        at = np.flatnonzero(every)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(at, pa.int64()), pa.array(every.ravel()[at])], ["kind", "at", "x"])
+
+            found = counted.mapInArrow(run, "kind string, at long, x double").groupBy("kind", "at").agg(F.sum("x").alias("x")).toArrow()
+            kinds, at, x = (np.array(found.column(c).to_pylist()) for c in ("kind", "at", "x"))
+            out = {}
+            for kind, w in weights.items():
+                every = np.zeros((len(w) + 1) * len(w))
+                every[at[kinds == kind]] = x[kinds == kind]
+                out[kind] = every[: len(w)], every[len(w) :].reshape(len(w), -1)
+            return out
+
+        return sums
+
+    return fit_by_votes(votes, {k: sorted(f) for k, f in names.items()}, slopes_at)
+
+
+#: Patterns up to which the driver fits the model itself; of more the same sums are taken by tasks.
+DRIVER_PATTERNS = 20_000
 
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> PiiModel:
-    """Count vote patterns over all documents and train on the table of counts."""
+    """Count vote patterns over all documents and train on all counts."""
     texts = docs.select(F.col(text_col).alias("txt")).where("txt is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +366,10 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> PiiModel:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([p for _, p in keys]), pa.array([seen[k] for k in keys], pa.int64())], ["kind", "pattern", "n"])
 
-    counted = texts.mapInArrow(count, "kind string, pattern string, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "kind", "pattern").limit(MOST_PATTERNS)
-    return fit_from_counts([tuple(r) for r in most.collect()])
+    counted = stored(texts.mapInArrow(count, "kind string, pattern string, n long").groupBy("kind", "pattern").agg(F.sum("n").alias("n")), "patterns")
+    if counted.count() > DRIVER_PATTERNS:
+        return fit_from_table(counted)
+    return fit_from_counts([tuple(r) for r in counted.collect()])
 
 
 def find_pii(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,3 +93,46 @@ def test_masking(spark):
     model = pii.fit_pii(spark.createDataFrame(sample(), "doc_id long, text string"))
     assert pii.mask("to a.b@c.org, now", model) == "to <email>, now"
     assert pii.mask(None, model) is None and pii.mask("plain", model) == "plain"
+
+
+def many_patterns():
+    """Documents with over 20,000 patterns of emails, and some secrets once each."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(1000):
+        found = []
+        for _ in range(45):
+            local = [*"7" * rng.randrange(26), *"k" * rng.randrange(26), *(c for c in "._%+-" if rng.random() < 0.5)]
+            rng.shuffle(local)
+            before, left, end, right = (rng.choice(c) for c in (["", "mail to ", "order no "], [" ", "(", "'", "é"], ["com", "zz"], [" ", ")", "'", "é"]))
+            found.append(f"{before}{left}{''.join(local)}k@{'k' * rng.randrange(1, 9)}.{end}{right}")
+        rows.append((i, "; ".join(found)))
+    keys = ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "0123456789abcdef0123", "Zk3+Zk4/Zk5+Zk6/Zk7+Zk8/", "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6e7f8"]
+    return rows + [(5000 + i, f'the token = "{k}" here') for i, k in enumerate(keys)]
+
+
+def test_rare_kinds_among_very_many_patterns(spark):
+    rows = many_patterns()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = {}
+    for _, t in rows:
+        for c in pii.candidates(t):
+            key = (c.kind, f"{','.join(map(str, c.votes))};{'|'.join(c.form)}")
+            counts[key] = counts.get(key, 0) + 1
+    assert len(counts) > 20_000
+    model, want = pii.fit_pii(docs), pii.fit_from_counts([(*k, n) for k, n in counts.items()])
+    assert "secret" in model.weights and all([k for k, _, _ in model.spans(t)[1]] == ["secret"] for i, t in rows if i >= 5000)
+    assert model.weights.keys() == want.weights.keys()
+    for kind, w in want.weights.items():
+        assert model.weights[kind] == pytest.approx(w, abs=1e-6)
+
+
+def test_tasks_and_driver_fit_the_same_model(spark, monkeypatch):
+    docs = spark.createDataFrame(sample(), "doc_id long, text string").repartition(3)
+    want = pii.fit_pii(docs)
+    monkeypatch.setattr(pii, "DRIVER_PATTERNS", 0)
+    got = pii.fit_pii(docs)
+    assert got.weights.keys() == want.weights.keys()
+    for kind, w in want.weights.items():
+        assert got.weights[kind] == pytest.approx(w, abs=1e-6)
+    assert pii.fit_pii(docs.limit(0)).weights == {}
