@@ -1,14 +1,13 @@
 """Document fingerprints of improbable features.
 
 Windows of WINDOW bytes are taken where the bytes around their start say so, so that an edit
-moves only windows near it. The entropy of a window over byte classes, rounded to levels, is
-ranked by how rare its level is in the whole corpus; in each run of neighbouring windows the
-rarest wins (of equals, by a hash of its first bytes), and windows that win several runs, or the
-most where none does, are the features of the text. Windows with first bytes that the text had
-before are passed over. Features go, in
-order, into a chain of Bloom filters of fixed size, a new one after PER_FILTER features. Two
-fingerprints compare by the overlap of their filters' bits, normalised so that what chance alone
-would share counts as 0.
+moves only windows near it, and never further apart than their length, so that they cover the
+text. The entropy of a window over byte classes, rounded to levels, is ranked by how rare its level
+is in the whole corpus; in each run of neighbouring windows the rarest wins (of equals, by a hash of
+its first bytes), and windows that win several runs, or all where few do, are the features of the
+text. Windows that the text had before are passed over. Features go, in order, into a chain of Bloom
+filters of fixed size, a new one after PER_FILTER features. Two fingerprints compare by the overlap
+of their filters' bits, normalised so that what chance alone would share counts as 0.
 """
 
 from __future__ import annotations
@@ -42,10 +41,22 @@ _LOG = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WI
 
 
 def windows(data: np.ndarray) -> np.ndarray:
-    """Starts of the windows of a text of at least WINDOW bytes: about one byte in eight."""
+    """Starts of the windows of a text of at least WINDOW bytes, ascending: about one byte in eight.
+
+    The first and the last window are among them. Where no start comes for WINDOW bytes after one,
+    the least of the mixed values there is taken (of equals the last), so windows cover all bytes.
+    """
+    last = len(data) - WINDOW
     mixed = data[:-2] * np.uint8(181) + data[1:-1] * np.uint8(97) + data[2:] * np.uint8(59)
-    starts = np.flatnonzero(mixed[: len(data) - WINDOW + 1] < 32)
-    return starts if len(starts) else np.zeros(1, dtype=np.int64)
+    starts = np.flatnonzero(mixed[: last + 1] < 32)
+    starts = np.unique(np.concatenate([starts, [0, last]]))
+    more = []
+    for k in np.flatnonzero(np.diff(starts) > WINDOW).tolist():
+        at, end = int(starts[k]), int(starts[k + 1])
+        while end - at > WINDOW:
+            at += WINDOW - int(mixed[at + 1 : at + WINDOW + 1][::-1].argmin())
+            more.append(at)
+    return np.sort(np.concatenate([starts, np.array(more, dtype=np.int64)])) if more else starts
 
 
 def levels(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -94,9 +105,12 @@ def features(text: bytes, rare: np.ndarray) -> np.ndarray:
     if len(data) < WINDOW:
         return np.array([xxhash.xxh3_64_intdigest(text)] if text else [], dtype=np.uint64)
     starts = windows(data)
-    # A window counts where its first bytes stand first, so repetition gives no neighbours of its own.
-    heads = data[starts[:, None] + np.arange(8)].view(np.uint64).ravel()
-    _, first = np.unique(heads, return_index=True)
+    # A window counts where it stands first, so repetition gives no neighbours of its own.
+    words = [data[starts[:, None] + np.arange(k, k + 8)].view(np.uint64).ravel() for k in range(0, WINDOW, 8)]
+    heads, whole = words[0], words[0]
+    for word in words[1:]:
+        whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    _, first = np.unique(whole, return_index=True)
     first.sort()
     starts, heads = starts[first], heads[first]
     if len(starts) > NEIGHBOURS:
@@ -104,7 +118,8 @@ def features(text: bytes, rare: np.ndarray) -> np.ndarray:
         ranks = rare[levels(data, starts)] + ((heads * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) * 2.0**-34
         runs = np.lib.stride_tricks.sliding_window_view(ranks, NEIGHBOURS)
         wins = np.bincount(runs.argmax(axis=1) + np.arange(len(runs)), minlength=len(starts))
-        starts = starts[wins >= min(WINS, wins.max())]
+        won = wins >= WINS
+        starts = starts[won] if won.sum() >= NEIGHBOURS else starts
     digest = xxhash.xxh3_64_intdigest
     hashes = np.array([digest(text[s : s + WINDOW]) for s in starts.tolist()], dtype=np.uint64)
     _, first = np.unique(hashes, return_index=True)

@@ -62,3 +62,28 @@ def test_one_row_repeats_and_empty(spark):
     assert [r.near_next for r in digests.edit_test(twice, rare).collect()] == [1.0] * 3
     prints = digests.fingerprints(twice.withColumnRenamed("doc_id", "fingerprint2"), rare).collect()
     assert len({r.fingerprint for r in prints}) == 1
+
+
+def test_windows_cover_every_byte():
+    rng = np.random.default_rng(1)
+    for n in [*range(32, 120), 1000, 5000]:
+        for top in (1, 2, 3, 256):
+            starts = digests.windows(rng.integers(0, top, n).astype(np.uint8))
+            assert starts[0] == 0 and starts[-1] == n - 32 and (np.diff(starts) > 0).all() and (np.diff(starts) <= 32).all()
+
+
+@pytest.mark.parametrize("head", ["the same first words of all texts", "a" * 40, "ab" * 400, "one phrase again and " * 50])
+def test_texts_that_share_a_beginning_differ(head):
+    rare = digests.rarity(np.zeros(digests.LEVELS, dtype=np.int64))
+    for seed in range(40):
+        rng = random.Random(seed)
+        for n in (3, 8, 20):
+            a, b = (head + "".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(n)) for _ in range(2))
+            fa, fb = (digests.fingerprint(t.encode(), rare) for t in (a, b))
+            assert a == b or digests.likeness(fa, fb) < 1
+
+
+def test_text_inside_repetition_is_seen():
+    rare = digests.rarity(np.zeros(digests.LEVELS, dtype=np.int64))
+    plain, marked = b"a" * 300, b"a" * 150 + b"xyz" + b"a" * 147
+    assert (digests.fingerprint(plain, rare) != digests.fingerprint(marked, rare)).any()
