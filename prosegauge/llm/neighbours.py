@@ -201,12 +201,15 @@ def search_groups(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         for q, parts in best.items():
             far, at = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             pairs: list[tuple[float, int]] = []
+            met: set[int] = set()  # rows of one vector, which both tables may have met, count once
             for j in np.argsort(far, kind="stable").tolist():
                 if len(pairs) > k and far[j] > pairs[k][0]:
                     break
-                pairs += [(float(far[j]), i) for i in ids[int(at[j])].as_py() if i != q]
+                fresh = [i for i in ids[int(at[j])].as_py() if i != q and i not in met]
+                met.update(fresh)
+                pairs += [(float(far[j]), i) for i in fresh]
                 pairs.sort()
-            out += [(q, i, d) for d, i in dict.fromkeys(pairs[: 2 * k + 2])][: k + 1]
+            out += [(q, i, d) for d, i in pairs[: k + 1]]
         return pa.table({"query": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
 
     return index.groupBy("grp").cogroup(visits.groupBy("grp")).applyInArrow(run, "query long, id long, distance double")

@@ -95,3 +95,11 @@ def test_further_probes_reach_the_chance_at_the_found_distance():
     assert neighbours.further_probes(x, 1.5, 1.0, 1.0, 0.8, 0) == []
     assert neighbours.further_probes(x, 1.5, 1.0, 2.0, 0.8, len(more) - 1) is None
     assert neighbours.further_probes(x, 1.5, 1.0, 50.0, 0.8, 100) is None
+
+
+def test_hits_of_both_tables_count_once(spark):
+    rows = [(0, cell, [i], [float(i)]) for cell in (1, 2) for i in range(1, 31)]
+    index = spark.createDataFrame(rows, "grp long, cell long, ids array<long>, vec array<double>")
+    visits = spark.createDataFrame([(0, cell, 0, [0.0]) for cell in (1, 2)], "grp long, cell long, query long, vec array<double>")
+    got = sorted((r.distance, r.id) for r in neighbours.search_groups(index, visits, 10).collect())
+    assert got == [(float(i), i) for i in range(1, 12)]
