@@ -108,3 +108,30 @@ def sorted_groups(
                 held.setdefault(n, []).append(v[a:b])
     if held:
         yield now, {n: np.concatenate(v) for n, v in held.items()}
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 100_000) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of a task in its order, in stretches of about ``least`` rows that hold whole groups.
+
+    Groups are rows next to each other with equal keys; columns are without nulls.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({n: _column(batch.column(n)) for n in batch.schema.names})
+        size += batch.num_rows
+        if size < least:
+            continue
+        rows = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+        change = np.zeros(size - 1, dtype=bool)
+        for k in keys:
+            change |= rows[k][1:] != rows[k][:-1]
+        cut = np.flatnonzero(change)
+        at = int(cut[-1]) + 1 if len(cut) else 0
+        if at:
+            yield {n: v[:at] for n, v in rows.items()}
+        held, size = [{n: v[at:] for n, v in rows.items()}], size - at
+    if size:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}

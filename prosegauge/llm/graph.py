@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and joins that no single key can crowd."""
 
 from __future__ import annotations
 
@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined (inner) with values, which has one row a key, by the column key.
+
+    A key may hold any share of the rows: they meet their value in SALTS parts, by a hash of the
+    column by, and the value goes once to each part that the key has.
+    """
+    dealt = rows.withColumn("_pg_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    sent = dealt.select(key, "_pg_salt").distinct().join(values, key)
+    return dealt.join(sent, [key, "_pg_salt"]).drop("_pg_salt")
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -15,22 +29,23 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     sym = _both_ways(edges)
     least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(sym.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(down, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u long, v long); component is the least node.
 
-    Alternates large-star and small-star steps until the edges no longer change: each step is
-    an aggregation and a join on the node, so a hub costs rows in proportion to its links. Each
-    round is stored in the shared folder, which also cuts the lineage. No edges: no rows.
+    Alternates large-star and small-star steps until the edges no longer change, which they do after
+    about the logarithm of the longest chain. Each step is an aggregation and a join on the node, the
+    join spread, so a hub costs rows in proportion to its links and crowds no task. Each round is
+    stored in the shared folder, which also cuts the lineage. No edges: no rows.
     """
     spark = edges.sparkSession
     now = stored(edges.where("u <> v").select("u", "v").distinct(), "edges")
@@ -45,17 +60,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
 
     before = state(now)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         after = stored(_small_star(_large_star(now)).distinct(), "edges")
         drop_stored(spark, now)
         now, new = after, state(after)
         if new == before:
             break
         before = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

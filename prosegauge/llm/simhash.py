@@ -1,21 +1,19 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints are 64 bits; two link when at most ``max_bits`` bits differ, and groups are the
-connected components of the links. The table of a fingerprint holds its Hamming distances to
-many reference fingerprints:
-
-* *cell* references, a base pattern and the base with one bit turned: the difference of two such
-  distances tells one bit of the fingerprint against the base, so the distances to the references
-  of a block of bits are equal for two fingerprints exactly where they agree in that block. With 7
-  blocks and 4 differing bits, 3 blocks at least are untouched; fingerprints meet in the 35 cells
-  given by the coordinates of 3 blocks, and no link is lost.
-* *spread* references, random patterns: |d(x, p) - d(y, p)| <= d(x, y), so a pair whose largest
-  coordinate difference is above ``max_bits`` is discarded unseen. Survivors are verified exactly.
-
-Within a cell, work is a breadth-first search over the members that are not yet reached, so
-thousands of near copies cost one comparison with their first member each, and only a spanning
-star is emitted, never all pairs. Cells above ``cell_rows`` are dealt to several tasks as pairs
-of blocks; nothing is capped.
+connected components of the links.
+
+* *Index*: distances to any references are too alike to index 64-bit fingerprints (half of all random
+  pairs differ by no more than 4 in a coordinate), so fingerprints first meet in cells of equal bits.
+  They are cut into ``max_bits + t`` blocks; at least t blocks are untouched in any linked pair, so
+  pairs meet in a cell of t blocks and no link is lost. t grows with the number of fingerprints, so
+  that a cell has CELL_MEMBERS members or fewer on average.
+* *Pivot table*: in every cell, the Hamming distances of each member to the REFS reference
+  fingerprints are computed once. |d(x, p) - d(y, p)| <= d(x, y), so a pair whose largest coordinate
+  difference is above ``max_bits`` is discarded; survivors are verified exactly.
+
+Pairs that are in one group already are passed over, and a cell emits a spanning star, never all
+pairs. Cells above ``cell_rows`` are dealt to several tasks as pairs of blocks; nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,16 +24,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, sorted_groups, stored
-from .graph import connected_components
+from .common import as_bytes, stored, whole_groups
+from .graph import connected_components, spread_join
 
 SEED = 42
-BASE = 0x9E3779B97F4A7C15
-CELL_REFS = np.array([BASE, *(BASE ^ (1 << i) for i in range(64))], dtype=np.uint64)
-SPREAD_REFS = np.random.default_rng(7).integers(0, 2**64, 48, dtype=np.uint64)
+#: Reference fingerprints of the pivot table, and members that a cell has on average at most.
+REFS = np.random.default_rng(7).integers(0, 2**64, 32, dtype=np.uint64)
+CELL_MEMBERS = 8
+#: Hot cells that are looked up in memory; of more, the lookup is a join.
+SMALL_ROWS = 50_000
 
 
 def fingerprint(text: bytes | None, words_per_shingle: int = 4) -> int:
@@ -74,109 +74,131 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", w
     return source.mapInArrow(run, schema)
 
 
-def distances(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """The pivot table: Hamming distances of each fingerprint (rows) to each reference."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def distances(fps: np.ndarray) -> np.ndarray:
+    """The pivot table: Hamming distances to each reference (rows) of each fingerprint (columns)."""
+    return np.bitwise_count(fps[None, :] ^ REFS[:, None]).astype(np.int8)
 
 
-def blocks_of(max_bits: int) -> list[list[int]]:
-    """max_bits + 3 blocks of nearly equal width: three stay untouched in any linked pair."""
-    return [b.tolist() for b in np.array_split(np.arange(64), max_bits + 3)]
+def untouched_blocks(n: int, max_bits: int) -> int:
+    """The number t of blocks that a cell agrees on, for n fingerprints."""
+    t = 1
+    while t < 6 and n > CELL_MEMBERS << (64 * t // (max_bits + t)):
+        t += 1
+    return t
 
 
-def cells(fps: np.ndarray, max_bits: int) -> np.ndarray:
-    """The cell keys (columns) of each fingerprint (rows): a combination and its coordinates."""
-    table = distances(fps, CELL_REFS).astype(np.int64)
-    turned = (1 + table[:, :1] - table[:, 1:]) // 2  # difference of coordinates: bit i against the base
-    codes = [(turned[:, b] << np.arange(len(b))).sum(axis=1) for b in blocks_of(max_bits)]
-    width = max(map(len, blocks_of(max_bits)))
+def cells(max_bits: int, t: int) -> list[Column]:
+    """The keys of the cells of a fingerprint fp: a combination of t blocks, then their bits."""
+    edges = [64 * k // (max_bits + t) for k in range(max_bits + t + 1)]
+    code = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << b - a) - 1).cast("long")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     keys = []
-    for number, combo in enumerate(combinations(range(len(codes)), 3)):
-        key = np.full(len(fps), number, dtype=np.int64)
-        for c in combo:
-            key = (key << width) | codes[c]
+    for number, blocks in enumerate(combinations(range(max_bits + t), t)):
+        key = F.lit(number).cast("long")
+        for k in blocks:
+            key = F.shiftleft(key, edges[k + 1] - edges[k]).bitwiseOR(code[k])
         keys.append(key)
-    return np.stack(keys, axis=1)
-
-
-def spanning_links(fps: np.ndarray, max_bits: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (root, member) that span the components of fps under Hamming distance <= max_bits."""
-    left = np.sort(fps)
-    roots, members = [], []
-    while len(left) > 1:
-        root, left = left[:1], left[1:]
-        frontier = root
-        while len(frontier) and len(left):
-            hit = np.zeros(len(left), dtype=bool)
-            if len(left) <= 64:  # the table of so few would cost more than it saves
-                for k in range(0, len(frontier), 4096):
-                    hit |= (np.bitwise_count(left[:, None] ^ frontier[None, k : k + 4096]) <= max_bits).any(axis=1)
-            else:
-                mine, theirs = distances(left, SPREAD_REFS), distances(frontier, SPREAD_REFS)
-                for k in range(0, len(frontier), block):
-                    open_ = np.flatnonzero(~hit)
-                    if not len(open_):
-                        break
-                    for a in range(0, len(open_), 2048):
-                        rows = open_[a : a + 2048]
-                        near = np.ones((len(rows), len(frontier[k : k + block])), dtype=bool)
-                        for p in range(len(SPREAD_REFS)):  # the largest coordinate difference decides
-                            near &= np.abs(mine[rows, p][:, None] - theirs[k : k + block, p][None, :]) <= max_bits
-                            if p % 8 == 7 and not near.any():
-                                break
-                        x, y = np.nonzero(near)
-                        sure = np.bitwise_count(left[rows[x]] ^ frontier[k + y]) <= max_bits
-                        hit[rows[x[sure]]] = True
-            frontier, left = left[hit], left[~hit]
-            roots.append(np.full(len(frontier), root[0], dtype=np.uint64))
-            members.append(frontier)
-    if not roots:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(roots), np.concatenate(members)
+    return keys
 
 
-def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> DataFrame:
-    """(u, v): links between different fingerprints of prints (fp long) that span every component."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of the component of each of n rows under the links a, b."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            return label
+        for end in (a, b):  # roots move too, so chains shorten quickly
+            np.minimum.at(label, label[end], least)
+            np.minimum.at(label, end, least)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def spanning_links(group: np.ndarray, fps: np.ndarray, max_bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links (root, member) that span the components of each group of fingerprints, and how many
+    pairs were held against the pivot table and how many of them were verified.
+
+    group: equal for the neighbouring rows of a group. side, if given: only rows of different sides,
+    or of side -1, are held against each other.
+    """
+    n = len(fps)
+    table = distances(fps)
+    label = np.arange(n)
+    met = verified = 0
+    d, left = 1, np.flatnonzero(group[1:] == group[:-1])
+    while len(left):
+        open_ = left[label[left] != label[left + d]]
+        if side is not None:
+            open_ = open_[(side[open_] != side[open_ + d]) | (side[open_] == -1)]
+        met += len(open_)
+        for row in table:  # the largest coordinate difference decides
+            open_ = open_[np.abs(row[open_] - row[open_ + d]) <= max_bits]
+            if not len(open_):
+                break
+        verified += len(open_)
+        sure = open_[np.bitwise_count(fps[open_] ^ fps[open_ + d]) <= max_bits]
+        if len(sure):
+            known = np.flatnonzero(label != np.arange(n))
+            label = _labels(n, np.concatenate([known, sure]), np.concatenate([label[known], sure + d]))
+        d += 1
+        left = left[left + d < n]
+        left = left[group[left] == group[left + d]]
+    member = np.flatnonzero(label != np.arange(n))
+    return fps[label[member]], fps[member], met, verified
+
+
+def _compared(prints: DataFrame, max_bits: int, cell_rows: int) -> DataFrame:
+    """(u, v, met, verified): spanning links, and by task, with null links, the pairs held against the
+    pivot table and the verified ones."""
+    spark = prints.sparkSession
+    shape = "u long, v long, met long, verified long"
     if not 0 <= max_bits <= 12:
         raise ValueError("max_bits must be between 0 and 12")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy()
-            for k in range(0, len(fps), 2000):
-                part = fps[k : k + 2000]
-                keys = cells(part.view(np.uint64), max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["cell", "fp"])
+    if max_bits == 0:
+        return spark.createDataFrame([], shape)
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
-        for _, rows in sorted_groups(batches, ["cell", "pair"]):
-            u, v = spanning_links(np.unique(rows["fp"].view(np.uint64)), max_bits)
-            us.append(u.view(np.int64))
-            vs.append(v.view(np.int64))
-            held += len(u)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-                us, vs, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    met = prints.select("fp").distinct().mapInArrow(emit, "cell long, fp long")
-    crowded = met.groupBy("cell").count().where("count > 1")
-    # Block numbers of a cell: pairs (i, j) of blocks, of which each member joins all that hold its own.
-    parts = F.ceil(F.col("count") / F.lit(cell_rows)).cast("long")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    pairs = F.transform(others, lambda o: F.least(o, F.col("own")) * F.col("parts") + F.greatest(o, F.col("own")))
-    dealt = (
-        met.join(crowded, "cell")
-        .withColumn("parts", parts)
-        .withColumn("own", own)
-        .select("cell", "fp", F.explode(pairs).alias("pair"))
-        .repartition("cell", "pair")
-        .sortWithinPartitions("cell", "pair")
-    )
-    return dealt.mapInArrow(span, "u long, v long").distinct()
+        met = verified = 0
+        for rows in whole_groups(batches, ["cell", "pair"]):
+            same = (rows["cell"][1:] == rows["cell"][:-1]) & (rows["pair"][1:] == rows["pair"][:-1])
+            group = np.concatenate([[0], np.cumsum(~same)])
+            u, v, m, k = spanning_links(group, rows["fp"].view(np.uint64), max_bits, rows["side"])
+            met, verified = met + m, verified + k
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), none, none], ["u", "v", "met", "verified"])
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([met]), pa.array([verified])], ["u", "v", "met", "verified"])
+
+    each = prints.select("fp").distinct()
+    t = untouched_blocks(each.count(), max_bits)
+    entered = each.select("fp", F.explode(F.array(*cells(max_bits, t))).alias("cell"))
+    crowded = stored(entered.groupBy("cell").count().where("count > 1"), "crowded")
+    hot = crowded.where(F.col("count") > cell_rows)
+    n_hot = hot.limit(SMALL_ROWS + 1).count()
+    if 0 < n_hot <= SMALL_ROWS:
+        hot = F.broadcast(hot)
+    calm = entered.join(hot, "cell", "left_anti") if n_hot else entered
+    dealt = calm.join(crowded.where(F.col("count") <= cell_rows), "cell").select("cell", "fp", F.lit(0).cast("long").alias("pair"), F.lit(-1).cast("long").alias("side"))
+    if n_hot:
+        # Pairs (i, j) of blocks of a cell, of which each member joins all that hold its own.
+        blocks = F.ceil(F.col("count") / F.lit(cell_rows)).cast("long")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        pairs = F.transform(others, lambda o: F.struct((F.least(o, F.col("own")) * F.col("blocks") + F.greatest(o, F.col("own"))).alias("pair"), F.when(o == F.col("own"), -1).otherwise(F.col("own")).cast("long").alias("side")))
+        met = entered.join(hot, "cell") if n_hot <= SMALL_ROWS else spread_join(entered, hot, "cell", "fp")
+        dealt = dealt.unionByName(met.withColumn("blocks", blocks).withColumn("own", own).select("cell", "fp", F.inline(pairs)))
+    return dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "fp").mapInArrow(span, shape)
+
+
+def links(prints: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> DataFrame:
+    """(u, v): links between different fingerprints of prints (fp long) that span every component."""
+    return _compared(prints, max_bits, cell_rows).where("u is not null").select("u", "v").distinct()
+
+
+def pair_figures(prints: DataFrame, max_bits: int = 4, cell_rows: int = 20_000) -> tuple[int, int, int]:
+    """How many pairs of prints meet in cells, how many the pivot table discards, and how many are verified."""
+    met, verified = _compared(prints, max_bits, cell_rows).agg(F.coalesce(F.sum("met"), F.lit(0)), F.coalesce(F.sum("verified"), F.lit(0))).first()
+    return met, met - verified, verified
 
 
 def near_duplicates(
@@ -198,14 +220,13 @@ def near_duplicates(
         fingerprints(docs.select(F.col(id_col).alias("_pg_id"), F.col(text_col).alias("_pg_txt")), "_pg_txt", "fp", words_per_shingle),
         "simhash",
     )
-    each = prints.groupBy("fp").agg(F.min("_pg_id").alias("least"))
-    parts = connected_components(links(each, max_bits))
-    labelled = each.join(parts, each["fp"] == parts["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("part")
-    )
-    ids = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    by_print = stored(labelled.join(ids, "part").select("fp", "component_id"), "components")
-    return prints.join(by_print, "fp").select(F.col("_pg_id").alias(id_col), "fp", "component_id")
+    each = stored(prints.groupBy("fp").agg(F.min("_pg_id").alias("least")), "prints")
+    parts = stored(connected_components(links(each, max_bits)).withColumnRenamed("node", "fp"), "parts")
+    labelled = each.join(parts, "fp")  # the groups of several fingerprints
+    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    grouped = spread_join(labelled.select("fp", "component"), ids, "component", "fp").select("fp", F.col("component_id").alias("_pg_group"))
+    by_print = stored(each.join(grouped, "fp", "left").select("fp", F.coalesce("_pg_group", "least").alias("component_id")), "components")
+    return spread_join(prints, by_print, "fp", "_pg_id").select(F.col("_pg_id").alias(id_col), "fp", "component_id")
 
 
 def keep_representatives(
@@ -226,7 +247,7 @@ def keep_representatives(
     marks = ["_pg_id", "_pg_hash"]
     prints = stored(fingerprints(rows.select(*marks, "_pg_txt"), "_pg_txt", "fp", words_per_shingle), "simhash")
     first = F.min(F.struct(F.col("_pg_id").isNull().alias("last"), "_pg_id", "_pg_hash"))
-    each = prints.groupBy("fp").agg(first.alias("first"))
+    each = stored(prints.groupBy("fp").agg(first.alias("first")), "prints")
     parts = connected_components(links(each, max_bits))
     labelled = each.join(parts, each["fp"] == parts["node"], "left").select("first", F.coalesce("component", "fp").alias("part"))
     kept = stored(labelled.groupBy("part").agg(F.min("first").alias("f")).select(*(F.col(f"f.{c}") for c in marks)).distinct(), "kept")

@@ -47,7 +47,7 @@ def clustered(rng, n):
 @pytest.mark.parametrize("bits", [0, 3, 4])
 def test_spanning_links_lose_no_component(bits):
     fps = sorted(set(clustered(random.Random(bits), 400)))
-    u, v = simhash.spanning_links(np.array(fps, dtype=np.uint64), bits)
+    u, v, *_ = simhash.spanning_links(np.zeros(len(fps), int), np.array(fps, dtype=np.uint64), bits)
     index = {x: i for i, x in enumerate(fps)}
     part = list(range(len(fps)))
     for a, b in zip(u.tolist(), v.tolist()):
@@ -58,6 +58,45 @@ def test_spanning_links_lose_no_component(bits):
     assert len({(a, b) for a, b in zip(part, want)}) == len(set(want))
 
 
+def test_pairs_are_discarded_by_the_largest_coordinate_difference():
+    rng = random.Random(4)
+    fps = sorted({rng.getrandbits(64) for _ in range(150)})  # no links, so every pair is met
+    refs = simhash.REFS.tolist()
+    far = lambda x, y: max(abs((x ^ p).bit_count() - (y ^ p).bit_count()) for p in refs)
+    kept = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if far(x, y) <= 20]
+    half = np.arange(150) // 75
+    u, _, met, verified = simhash.spanning_links(np.zeros(150, int), np.array(fps, dtype=np.uint64), 20)
+    assert met <= 150 * 149 // 2 and verified <= len(kept) and len(u) < 150
+    u, _, met, verified = simhash.spanning_links(np.zeros(150, int), np.array(fps, dtype=np.uint64), 4)
+    assert (met, verified, len(u)) == (150 * 149 // 2, sum(far(x, y) <= 4 for i, x in enumerate(fps) for y in fps[:i]), 0)
+    assert simhash.spanning_links(half, np.array(fps, dtype=np.uint64), 4)[2] == 2 * (75 * 74 // 2)
+
+
+def test_figures_of_pairs(spark):
+    fps = sorted(set(clustered(random.Random(2), 200)))
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    met, discarded, verified = simhash.pair_figures(frame, 4)
+    assert met == discarded + verified and discarded > 0 and verified >= simhash.links(frame, 4).count()
+
+
+@pytest.mark.parametrize("n", [1, 10**5, 10**8, 10**11, 10**14])
+@pytest.mark.parametrize("bits", [1, 4, 12])
+def test_cells_stay_small_and_lose_no_pair(spark, n, bits):
+    t = simhash.untouched_blocks(n, bits)
+    assert t == 6 or n / 2 ** (64 * t // (bits + t)) <= simhash.CELL_MEMBERS
+    if bits == 4 and t < 4:
+        rng = random.Random(n)
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), 4):
+            y ^= 1 << b
+        signed = [(v - (1 << 64) if v >> 63 else v,) for v in (x, y)]
+        from pyspark.sql import functions as F
+
+        rows = spark.createDataFrame(signed, "fp long").select(F.explode(F.array(*simhash.cells(4, t))).alias("c"))
+        assert rows.groupBy("c").count().where("count = 2").count() >= 1
+
+
 @pytest.mark.parametrize("cell_rows", [20_000, 5])
 def test_links_in_spark_equal_brute_force(spark, cell_rows):
     fps = sorted(set(clustered(random.Random(9), 300)))
