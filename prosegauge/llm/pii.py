@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,19 +35,22 @@ LABELERS = ("pattern", "gazetteer", "context", "grouping", "content")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Whole runs of numbers and dots; matches of _IP are each four numbers of a run, from its start.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Patterns of further candidates.
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{16,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z(+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
     "secret": re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)[\"']? ?[=:] ?[\"']?([A-Za-z0-9+/_.-]{8,})"),
 }
+_AT = re.compile(r" ?[\[(] ?at ?[\])] ?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++")
 #: Characters without which a pattern of a kind cannot match.
-_NEEDS = {"email": ("[at", "(at", "[ at", "( at"), "ip": (".",), "card": (), "phone": ("-", ".", " "), "secret": ("=", ":")}
+_NEEDS = {"ip": (".",), "card": (), "phone": ("-", ".", " "), "secret": ("=", ":")}
 _DIGIT = re.compile(r"[0-9]")
 
 _CUES = {
@@ -75,6 +79,31 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _quads(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(start, the four numbers) of each match of _IP, in time linear in the text."""
+    if "." not in text:
+        return
+    for run in _DOTTED.finditer(text):
+        parts = run[0].split(".")
+        at = run.start()
+        for k in range(0, len(parts) - 3, 4):
+            yield at, parts[k : k + 4]
+            at += sum(map(len, parts[k : k + 4])) + 4
+
+
+def _spelled_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses like ``name (at) host (dot) org``: from the bracket, back over the local part."""
+    last = 0
+    for m in _AT.finditer(text):
+        at = m.start()
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (domain := _SPELLED_DOMAIN.match(text, m.end())):
+            last = domain.end()
+            yield start, last
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base patterns, leftmost and not overlapping within a kind."""
     found: list[tuple[str, int, int]] = []
@@ -89,9 +118,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, last))
     if not _DIGIT.search(text):
         return found
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
-            found.append(("ip", *m.span()))
+    for a, parts in _quads(text):
+        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in parts):
+            found.append(("ip", a, a + sum(map(len, parts)) + 3))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -166,13 +195,17 @@ def candidates(text: str) -> list[Candidate]:
     base = base_spans(text)
     found = [describe(text, k, a, b, True) for k, a, b in base]
     digit = bool(_DIGIT.search(text))
+    wide: list[tuple[str, Iterator[tuple[int, int]]]] = []
+    if "at" in text and ("[" in text or "(" in text):
+        wide.append(("email", _spelled_emails(text)))
     for kind, pattern in _WIDE.items():
-        if (kind not in ("email", "secret") and not digit) or (_NEEDS[kind] and not any(c in text for c in _NEEDS[kind])):
+        if (kind != "secret" and not digit) or (_NEEDS[kind] and not any(c in text for c in _NEEDS[kind])):
             continue
+        wide.append((kind, (m.span(1 if kind == "secret" else 0) for m in pattern.finditer(text))))
+    for kind, spans in wide:
         own = [(a, b) for k, a, b in base if k == kind]
         j = 0
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if kind == "secret" else m.span()
+        for a, b in spans:
             while j < len(own) and own[j][1] <= a:
                 j += 1
             if j == len(own) or own[j][0] >= b:
@@ -180,6 +213,29 @@ def candidates(text: str) -> list[Candidate]:
     return found
 
 
+class _Taken:
+    """Stretches of a text that are taken, disjoint and in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Take a stretch if all of it is free."""
+        k = bisect(self.starts, a)
+        if (k and self.ends[k - 1] > a) or (k < len(self.starts) and self.starts[k] < b):
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 @dataclass
 class PiiModel:
     """For each kind: the labelers' shares of votes for and against on true and false spans, the
@@ -201,12 +257,10 @@ class PiiModel:
         found = candidates(text)
         base = [(c.kind, c.start, c.end) for c in found if c.base]
         open_ = sorted(((self.probability(c), -c.start, c) for c in found if not c.base), key=lambda x: (-x[0], -x[1], KINDS.index(x[2].kind)))
-        taken = sorted((a, b) for _, a, b in base)
-        added = []
-        for p, _, c in open_:
-            if p >= least and sum(v > 0 for v in c.votes) >= 2 and all(b <= c.start or a >= c.end for a, b in taken):
-                taken.append((c.start, c.end))
-                added.append((c.kind, c.start, c.end))
+        taken = _Taken((a, b) for _, a, b in base)
+        added = [
+            (c.kind, c.start, c.end) for p, _, c in open_ if p >= least and sum(v > 0 for v in c.votes) >= 2 and taken.add(c.start, c.end)
+        ]
         order = {k: n for n, k in enumerate(KINDS)}
         key = lambda s: (order[s[0]], s[1])
         return sorted(base, key=key), sorted(base + added, key=key)
@@ -376,7 +430,8 @@ def find_pii(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col:
     """One row per row of docs: id_col, ``base`` and ``spans``, arrays of (kind, start, end) by kind
     in the order of KINDS, then start; code points, end exclusive.
 
-    A null text is empty and has no spans. Rows with equal ids are kept apart. No rows: no rows.
+    A null text is empty and has no spans. Rows with equal ids are kept apart. The time is linear in
+    the length of a text, but for an insertion into a list per span. No rows: no rows.
     """
     span = "array<struct<kind:string,start:int,end:int>>"
     kind = docs.schema[id_col].dataType.simpleString()

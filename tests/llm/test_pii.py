@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -47,6 +48,63 @@ def test_base_spans_equal_the_patterns(seed):
         assert pii.base_spans(text) == brute(text), text
 
 
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spelled_addresses_equal_the_pattern(seed):
+    rng = random.Random(seed)
+    parts = ["name", ".", " ", "(at)", "[ at ]", " (at ", "(dot)", " [dot] ", "org", "x-y", "@", "(", ")", "é", "at", "(at) "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert list(pii._spelled_emails(text)) == [m.span() for m in SPELLED.finditer(text)], text
+
+
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * MEGABYTE + " (at",
+        "a" * MEGABYTE + " (at) x",
+        "a (at) " * (MEGABYTE // 7),
+        "a" * MEGABYTE + "@",
+        "@" + "a" * MEGABYTE,
+        "1" * MEGABYTE,
+        "1" * MEGABYTE + ".1",
+        "1." * (MEGABYTE // 2),
+        "1 " * (MEGABYTE // 2),
+        "+1" + " " * MEGABYTE,
+        "+1(" * (MEGABYTE // 3),
+        "token=" * (MEGABYTE // 6),
+        "token=" + "a" * MEGABYTE,
+        'token="9f86d081884c7d659a2feaa0c55ad015" ' * (MEGABYTE // 40),
+        "10.0.0.1 " * (MEGABYTE // 9),
+    ],
+    ids=range(15),
+)
+def test_a_megabyte_takes_little_time(text):
+    model = pii.PiiModel(weights={k: {"bias": 1.0} for k in pii.KINDS})
+    began = time.process_time()
+    first = model.spans(text)
+    assert time.process_time() - began < (1.0 if len(first[1]) < 1000 else 10.0)
+
+
+def test_taken_stretches():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = pii._Taken(spans)
+        for _ in range(12):
+            a = rng.randrange(60)
+            b = a + rng.randrange(1, 9)
+            free = all(y <= a or x >= b for x, y in spans)
+            assert taken.add(a, b) == free
+            if free:
+                spans.append((a, b))
+
+
 def sample():
     rng = random.Random(5)
     rows = []
