@@ -7,12 +7,14 @@ every executor can read it again, so a lost executor costs a task and not the jo
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,29 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is set only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``; a local session without one is given one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="prosegauge-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The pyarrow file system of a path as Spark names it, and the path there."""
+    scheme, sep, rest = uri.partition(":")
+    if sep and scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif sep and scheme == "file" and not rest.startswith("//"):
+        uri = f"file://{rest}"
+    return fs.FileSystem.from_uri(uri)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/prosegauge/{name}-{uuid.uuid4().hex}"
 
@@ -62,8 +76,12 @@ def as_bytes(column: str) -> F.Column:
     return F.col(column).cast("binary")
 
 
+#: Bytes or characters of the longest word that a worker remembers.
+MEMO_LENGTH = 64
+
+
 class WordMemo(dict):
-    """word -> value of make(word), kept for at most ``limit`` words of a worker."""
+    """word -> value of make(word), kept for at most ``limit`` words of a worker, none of them long."""
 
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
@@ -71,6 +89,8 @@ class WordMemo(dict):
 
     def __missing__(self, word):
         value = self.make(word)
+        if len(word) > MEMO_LENGTH:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[word] = value

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, sorted_groups, stored
+from .common import MEMO_LENGTH, sorted_groups, stored
 
 END_ID = 2
 #: Letters and marks for which a word's ids are those of the lower-cased letters, then of the marks:
@@ -31,7 +31,7 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*$%&#]*)")
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 _CONTROLS = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(r"[ \t\n\r]+")
-#: Distinct words, and distinct runs of letters, of which a worker remembers the ids.
+#: Distinct words, and distinct runs of letters, of which a worker remembers the ids; none is long.
 MEMO_WORDS = 600_000
 #: Characters of text that are looked at together.
 SLICE = 1 << 20
@@ -94,11 +94,16 @@ class WordIds:
             core = core.lower()
             ids = cores.get(core)
             if ids is None:
-                ids = cores[core] = b"".join([t.id.to_bytes(4, "little") for t in model(core.translate(letters))])
+                ids = b"".join([t.id.to_bytes(4, "little") for t in model(core.translate(letters))])
+                if len(core) <= MEMO_LENGTH:
+                    cores[core] = ids
             if marks:
-                if marks not in cores:
-                    cores[marks] = self._encode([marks])[0]
-                ids += cores[marks]
+                tail = cores.get(marks)
+                if tail is None:
+                    tail = self._encode([marks])[0]
+                    if len(marks) <= MEMO_LENGTH:
+                        cores[marks] = tail
+                ids += tail
             words[w] = ids
         words.update(zip(odd, self._encode(odd), strict=True))
 
@@ -111,7 +116,11 @@ class WordIds:
         new.difference_update(self.words)
         self.learn(new)
         known = self.words
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:  # so that what is remembered is bounded in bytes too
+            if len(w) > MEMO_LENGTH:
+                del known[w]
+        return found
 
     def runs(self, text: str) -> Iterator[bytes]:
         """The ids of a long text in runs of bounded size."""

@@ -28,14 +28,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, as_bytes, new_path
+from .common import WordMemo, as_bytes, new_path, open_store
 
 WORDS = 13
 ROWS = 2
 #: Bits of the number of cells of a shard of the sketch, which one group of rows fills.
-SHARD_BITS = 22
+SHARD_BITS = 18
+#: log2 of the least number of cells of a row.
+LEAST_BITS = 22
 #: Windows that a task holds at a time.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Bytes of text in a group of documents of the last step, and windows in a group of the second.
 GROUP_BYTES = 12 << 20
 GROUP_WINDOWS = 2_000_000
@@ -81,8 +83,8 @@ def unpacked_cells(data: bytes) -> np.ndarray:
 
 
 def sketch_bits(windows: int, max_cells: int) -> int:
-    """log2 of the cells of a row: four a window, at least a shard, at most max_cells."""
-    return max(SHARD_BITS, min(math.ceil(math.log2(4 * max(1, windows))), int(math.log2(max_cells))))
+    """log2 of the cells of a row: four a window, at least LEAST_BITS, at most max_cells."""
+    return max(LEAST_BITS, min(math.ceil(math.log2(4 * max(1, windows))), int(math.log2(max_cells))))
 
 
 def write_sketch(docs: DataFrame, path: str, bits: int, width: int) -> None:
@@ -144,7 +146,7 @@ def read_sketch(path: str, bits: int) -> list[np.ndarray]:
     if path not in _sketches:
         _sketches.clear()
         rows = [np.zeros(1 << bits - 3, dtype=np.uint8) for _ in range(ROWS)]
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         step = 1 << SHARD_BITS - 3
         for info in store.get_file_info(fs.FileSelector(root)):
             if info.base_name.startswith("part-"):
@@ -179,7 +181,7 @@ def _reply(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, groups: int) -> I
     """Window starts to remove, packed by group of documents: ids, text marks and starts in turn."""
     if not len(ids):
         return
-    group = group_of(marks, groups)
+    group = group_of(ids, marks, groups)
     order = np.lexsort((at, marks, ids, group))
     ids, marks, at, group = ids[order], marks[order], at[order], group[order]
     cuts = np.searchsorted(group, np.arange(groups + 1))
@@ -188,8 +190,10 @@ def _reply(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, groups: int) -> I
     yield pa.RecordBatch.from_arrays([pa.array([-1] * len(keys), pa.int64()), pa.array(keys.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "grp", "data"])
 
 
-def group_of(marks: np.ndarray, groups: int) -> np.ndarray:
-    return (marks % np.uint64(groups)).astype(np.int64)
+def group_of(ids: np.ndarray, marks: np.ndarray, groups: int) -> np.ndarray:
+    """The group in which a document meets its replies; by id and text, so copies are dealt out."""
+    mixed = (ids.view(np.uint64) * _CELL[0]) ^ marks
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(groups)).astype(np.int64)
 
 
 def remove_repeats(
@@ -284,7 +288,9 @@ def remove_repeats(
     def mark_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([xxhash.xxh64_intdigest(t.as_py() or b"", 9) for t in batch.column("txt")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("txt"), pa.array(marks.view(np.int64)), pa.array(group_of(marks, groups))], ["id", "txt", "mark", "grp"])
+            ids = batch.column("id")  # null ids get no replies, so any group will do for them
+            spread = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.arange(len(ids)), ids.fill_null(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([ids, batch.column("txt"), pa.array(marks.view(np.int64)), pa.array(group_of(spread, marks, groups))], ["id", "txt", "mark", "grp"])
 
     def cut(rows: pa.Table, notes: pa.Table) -> pa.Table:
         owners: dict[tuple[int, int], list[np.ndarray]] = {}

@@ -52,6 +52,18 @@ def test_equals_brute_force(spark, monkeypatch, seed, width, small):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute(rows, width)
 
 
+def test_copies_of_one_text_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 2000)
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [*((i, text) for i in range(200)), *((None, text) for _ in range(60)), *((i, None) for i in range(200, 260))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(frame).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute(rows, 13)
+    ids = np.arange(10_000)
+    sizes = np.bincount(substrings.group_of(ids, np.full(10_000, 77, np.uint64), 16), minlength=16)
+    assert sizes.min() > 400 and sizes.max() < 900
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(empty).count() == 0
