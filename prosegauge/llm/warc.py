@@ -22,11 +22,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, new_path, stored
+from .common import as_bytes, new_path, open_store, stored
 
 MAGIC = b"WARC/1.1\r\n"
 ID_PREFIX = "urn:page:"
@@ -88,7 +87,7 @@ def write_archives(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         store.create_dir(root, recursive=True)
         out = name = None
         size = records = 0
@@ -126,17 +125,24 @@ class _File:
     def range(self, a: int, b: int) -> bytes:
         return self.f.read_at(max(0, b - a), a)
 
-    def header(self, at: int, size: int, limit: int = 1 << 20) -> tuple[dict[str, str], int] | None:
-        """Fields of the record header at an offset and the offset of its block; None if it is none."""
-        step, data = 1024, b""
-        while (end := data.find(b"\r\n\r\n")) < 0:
-            if at + len(data) >= size or len(data) > limit:
+    def header(self, at: int, size: int) -> tuple[dict[str, str], int] | None:
+        """Fields of the record header at an offset and the offset of its block; None if it is none.
+
+        A header of any length is read, up to its blank line. It holds no magic but its own, since
+        no field holds a line break; so magic in payloads is given up at the next one.
+        """
+        step, data, seen = 1024, bytearray(), 0
+        while (end := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            if at + len(data) >= size or data.find(MAGIC, max(1, seen - len(MAGIC))) >= 0:
                 return None
+            seen = len(data)
             data += self.range(at + len(data), min(size, at + len(data) + step))
-            step *= 4
+            step = min(4 * step, 4 << 20)
             if not data.startswith(MAGIC):
                 return None
-        lines = data[len(MAGIC) : end].split(b"\r\n")
+        if data.find(MAGIC, max(1, seen - len(MAGIC)), end) >= 0:
+            return None
+        lines = bytes(data[len(MAGIC) : end]).split(b"\r\n")
         fields = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, s, v in (x.partition(b":") for x in lines) if s}
         return (fields, at + end + 4) if re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")) else None
 
@@ -151,7 +157,7 @@ def candidates(manifest: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
     """(file, offset, exit): magic at offset, and where its chain of successors leaves the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         for batch in batches:
             for x in batch.to_pylist():
                 f = _File(store, f"{root}/{x['file']}")
@@ -221,7 +227,7 @@ def read_archives(manifest: DataFrame, path: str, chunk_bytes: int = 4 << 20, pa
     work = _chunks(manifest, chunk_bytes).join(entries, ["file", "start"]).where("offset < bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = open_store(path)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
         def number(field: str | None) -> int | None:

@@ -47,6 +47,15 @@ def test_round_trip_with_magic_in_payloads(spark, chunk):
             assert len(r.payload) == r.payload_bytes
 
 
+def test_headers_of_any_length(spark):
+    rows = [(1, "http://h/" + "a b" * 1_000_000, "<p>x</p>", None), (2, "u", "WARC/1.1\r\n" * 3000, None), (3, None, "last", None)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    path = new_path(spark, "warc-test")
+    got = warc.read_archives(warc.write_archives(pages, path), path, chunk_bytes=1 << 20).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+    assert {len(r.url or "") for r in got} == {9 + 5_000_000, 1, 0}
+
+
 def test_small_payloads_and_empty_tables(spark):
     rows = [(i, None, h, None) for i, h in enumerate(["a", "a", "long text", "long text"])]
     pages = spark.createDataFrame(rows, SCHEMA)
