@@ -192,7 +192,22 @@ def deliver(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars"
     return cut.withColumns(new).orderBy("_pg_at").select(*(f"`{c}`" for c in names))
 
 
-#: DuckDB SQL for the query op9: the same targets, order and cuts over the documents table.
+def _position_sql(demand: str, schedule: tuple[float, ...]) -> str:
+    """position() in SQL: the piece of the schedule in which the demand falls, solved for its time."""
+    step = 1.0 / (len(schedule) - 1)
+    areas = [(a + b) * 0.5 * step for a, b in zip(schedule[:-1], schedule[1:], strict=True)]
+    double = lambda x: f"CAST({x!r} AS DOUBLE)"
+    cases = []
+    for k, a in enumerate(schedule[:-1]):
+        slope = (schedule[k + 1] - a) / step
+        left = f"(({demand} - {double(sum(areas[:k]) / sum(areas))}) * {double(sum(areas))})"
+        at = f"{left} / {double(a)}" if slope == 0 else f"(sqrt(greatest({double(a * a)} + {double(2 * slope)} * {left}, 0)) - {double(a)}) / {double(slope)}"
+        when = f"WHEN {demand} < {double(sum(areas[: k + 1]) / sum(areas))} THEN" if k < len(areas) - 1 else "ELSE"
+        cases.append(f"{when} {double(k * step)} + least(greatest({at}, 0), {double(step)})")
+    return f"(CASE {' '.join(cases)} END)"
+
+
+#: DuckDB SQL for the query op9: the same targets, order, cuts and positions over the documents table.
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -216,12 +231,18 @@ goals AS (
          coalesce(least(cap, weight * (SELECT level FROM levelled WHERE level <= cap / weight ORDER BY ord LIMIT 1)), cap) AS target
   FROM levelled),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS words,
+  SELECT s.doc_id, s.size, g.source_size, g.target, g.number, CAST(round(g.target) AS BIGINT) AS words,
          CASE WHEN g.source_size > 0 THEN CAST(round(g.target) AS BIGINT) // g.source_size ELSE 0 END AS passes,
          CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       CAST(passes * size + greatest(0, least(size, words - passes * source_size - before)) AS BIGINT) AS taken
-FROM placed
-"""
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+cut AS (
+  SELECT *, greatest(0, least(size, words - passes * source_size - before)) AS extra FROM placed),
+shared AS (
+  SELECT *, CASE WHEN passes > 0 THEN size ELSE extra END AS amount,
+         (before + (CASE WHEN passes > 0 THEN size ELSE extra END) / CAST(2 AS DOUBLE)) / nullif(words, 0) AS share
+  FROM cut)
+SELECT doc_id, size, source_size, target, CAST(passes * size + extra AS BIGINT) AS taken,
+       CASE WHEN amount > 0 THEN CASE number % @n @cases END END AS position
+FROM shared
+""".replace("@n", str(len(SCHEDULES))).replace("@cases", " ".join(f"WHEN {k} THEN {_position_sql('share', s)}" for k, s in enumerate(SCHEDULES)))
