@@ -11,15 +11,26 @@ from .common import drop_stored, stored
 SALTS = 64
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined (inner) with values, which has one row a key, by the column key.
+#: Rows of a table that is looked up in memory; a larger one is joined.
+SMALL_ROWS = 50_000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with values, which has one row a key, by the column key.
 
     A key may hold any share of the rows: they meet their value in SALTS parts, by a hash of the
     column by, and the value goes once to each part that the key has.
     """
     dealt = rows.withColumn("_pg_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     sent = dealt.select(key, "_pg_salt").distinct().join(values, key)
-    return dealt.join(sent, [key, "_pg_salt"]).drop("_pg_salt")
+    return dealt.join(sent, [key, "_pg_salt"], how).drop("_pg_salt")
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined (left) with values, one row a key: in memory where few by count, else spread."""
+    if values.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(values), key, "left")
+    return spread_join(rows, values, key, by, "left")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ of probes follows the data and nothing is capped. Candidates of all tables are m
 by exact distance.
 
 Equal vectors are indexed once, with their smallest ids. Buckets are dealt to groups of bounded
-expected size, crowded ones in several parts that each probe visits. r is the median distance to
-the k-th neighbour of a bounded set of vectors, measured against all.
+expected size, crowded ones in several parts that each probe visits; a group that many queries visit
+is held by several tasks, each with a part of the queries. r is the median distance to the k-th
+neighbour of a bounded set of vectors, measured against all. The same vectors choose the number of
+functions: that with the least cost of probes and of rows met.
 
 r only starts the search. A query whose k-th found row lies farther than r goes on to probe until the
 recall asked for is reached at that distance, which no true neighbour exceeds; where that takes more
@@ -31,12 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
+from .graph import lookup
 
 TABLES = 2
 #: Vectors that measure the typical distance.
 PROBE_VECTORS = 32
-#: Indexed rows of a group that one task holds.
-GROUP_ROWS = 20_000
+#: Indexed rows of a group, and visits to it, that one task holds at a time.
+GROUP_ROWS = 4_000
+VISIT_ROWS = 16_000
+#: Of the vectors that measure r, those that choose the number of functions, and its bounds.
+COST_VECTORS = 4
+FUNCTIONS = range(2, 17)
 #: Steps to either side that a function may be perturbed by.
 REACH = 4
 #: Distances that cost about as much as one more probe.
@@ -152,8 +159,39 @@ def further_probes(x: np.ndarray, step: float, r: float, far: float, enough: flo
     return None
 
 
-def typical_distance(points: DataFrame, k: int) -> float:
-    """Median distance of PROBE_VECTORS vectors to their k-th neighbour among all."""
+def chosen_functions(tests: list[np.ndarray], r: float, n: int, enough: float) -> int:
+    """The number of functions that costs least over some test vectors.
+
+    A probe costs PROBE_ROWS distances; the rows met are those of n that a vector at the median
+    distance of the tests has the chance to share a visited bucket with. The cost falls with the
+    number at first, for buckets hold less, and then rises, for more of them must be visited.
+    """
+    step = 1.5 * r
+    apart = [float(np.linalg.norm(a - b)) for k, a in enumerate(tests) for b in tests[:k] if len(a) == len(b)]
+    far = max(r, float(np.median(apart)) if apart else r)
+    most = max(1, n // PROBE_ROWS)
+    best, least = FUNCTIONS[0], math.inf
+    for functions in FUNCTIONS:
+        cost = 0.0
+        for v in tests[:COST_VECTORS]:
+            a, b = projections(len(v), 0, functions, step)
+            at = (v @ a + b) / step
+            chance = chances(at - np.floor(at), step, far)
+            count = share = 0.0
+            for shift in probes(at - np.floor(at), step, r, enough):
+                count += 1
+                share += math.prod(float(chance[j, x + REACH]) for j, x in enumerate(shift))
+                if count > most or cost + count * PROBE_ROWS > least:
+                    return best  # more functions take more probes still
+            cost += count * PROBE_ROWS + n * min(1.0, share)
+        if cost >= least:
+            return best
+        best, least = functions, cost
+    return best
+
+
+def typical_distance(points: DataFrame, k: int) -> tuple[float, list[np.ndarray]]:
+    """Median distance of PROBE_VECTORS vectors to their k-th neighbour among all, and the vectors."""
     some = points.orderBy(F.xxhash64("vec"), "vec").limit(PROBE_VECTORS).collect()
     tests = [np.array(r.vec, dtype=np.float64) for r in some]
 
@@ -173,14 +211,20 @@ def typical_distance(points: DataFrame, k: int) -> float:
     rank = F.row_number().over(Window.partitionBy("n").orderBy("d"))
     found = near.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("n").agg(F.max("d").alias("d"))
     got = found.agg(F.median("d")).first()[0]
-    return float(got) if got else 1.0
+    return (float(got) if got else 1.0), tests
 
 
-def search_groups(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+def search_groups(index: DataFrame, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, distance): the nearest of each query in each group.
 
-    index: grp, cell, ids, vec; visits: grp, cell, query, vec. A query meets the rows of its cells.
+    index: grp, cell, ids, vec; visits: grp, cell, query; queries: query, vec. A query meets the rows
+    of its cells. A group with many visits goes to several tasks, each with a part of the queries.
     """
+    split = stored(visits.groupBy("grp").count().where(F.col("count") > VISIT_ROWS).select("grp", F.ceil(F.col("count") / VISIT_ROWS).alias("tasks")), "split")
+    tasks = F.coalesce("tasks", F.lit(1)).cast("long")
+    index = lookup(index, split, "grp", "ids").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"), "cell", "ids", "vec")
+    visits = lookup(visits, split, "grp", "query").withColumn("task", F.pmod(F.xxhash64("query"), tasks))
+    asked = visits.join(queries, "query").select("grp", "task", "cell", "query", "vec")
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         best: dict[int, list[tuple[np.ndarray, list]]] = {}
@@ -212,7 +256,7 @@ def search_groups(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
             out += [(q, i, d) for d, i in pairs[: k + 1]]
         return pa.table({"query": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
 
-    return index.groupBy("grp").cogroup(visits.groupBy("grp")).applyInArrow(run, "query long, id long, distance double")
+    return index.groupBy("grp", "task").cogroup(asked.groupBy("grp", "task")).applyInArrow(run, "query long, id long, distance double")
 
 
 def nearest_neighbours(
@@ -235,10 +279,10 @@ def nearest_neighbours(
     rows = stored(valid_vectors(vectors, id_col, vec_col), "vectors")
     points = stored(distinct_vectors(rows, k), "points")
     n = points.count()
-    r = typical_distance(points, k) if n else 1.0
+    r, tests = typical_distance(points, k) if n else (1.0, [])
     step = 1.5 * r
-    functions = min(16, max(2, round(math.log(max(n, 1) / 1000 + 1) / math.log(3))))
     enough = 1 - (1 - recall) ** (1 / tables)
+    functions = chosen_functions(tests, r, n, enough)
     queries = rows.where(F.col("id") % query_modulus == 0).select(F.col("id").alias("query"), "vec")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,28 +309,27 @@ def nearest_neighbours(
                             cells.append(bucket(m.shape[1], t, own[j] + np.array(shift)))
                             source.append(j)
                         if len(cells) > 20_000 or j == len(m) - 1:
-                            rows_of = part.take(pa.array(source))
-                            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), rows_of.column("query"), rows_of.column("vec")], ["cell", "query", "vec"])
+                            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), part.column("query").take(pa.array(source, pa.int64()))], ["cell", "query"])
                             cells, source = [], []
 
     kind = points.schema["vec"].dataType.simpleString()
     entries = points.select("ids", "vec").mapInArrow(enter, f"cell long, ids array<bigint>, vec {kind}")
-    visits = queries.mapInArrow(visit, f"cell long, query long, vec {kind}")
+    visits = stored(queries.mapInArrow(visit, "cell long, query long"), "visits")
     groups = max(1, math.ceil(n * tables / GROUP_ROWS))
     crowded = entries.groupBy("cell").count().where(F.col("count") > GROUP_ROWS)
     crowded = stored(crowded.select("cell", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("parts")), "crowded")
     parts = F.coalesce("parts", F.lit(1))
     index = (
-        entries.join(crowded, "cell", "left")
+        lookup(entries, crowded, "cell", "ids")
         .withColumn("part", F.pmod(F.xxhash64("ids"), parts).cast("int"))
         .select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "ids", "vec")
     )
 
     def asked(visits: DataFrame) -> DataFrame:
-        every = visits.join(crowded, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        return every.select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "query", "vec")
+        every = lookup(visits, crowded, "cell", "query").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return every.select(F.pmod(F.xxhash64("cell", "part"), F.lit(groups)).alias("grp"), "cell", "query")
 
-    found = stored(search_groups(index, asked(visits), k), "found").distinct()
+    found = stored(search_groups(index, asked(visits), queries, k), "found").distinct()
     best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     far = found.withColumn("rank", best).where(F.col("rank") == k).select("query", F.col("distance").alias("far"))
     most = n // PROBE_ROWS
@@ -306,18 +349,20 @@ def nearest_neighbours(
                     cells += mine
                     source += [j] * len(mine)
                     if len(cells) > 20_000 or j == len(m) - 1:
-                        rows_of = part.take(pa.array(source, pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), rows_of.column("query"), rows_of.column("vec")], ["cell", "query", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), part.column("query").take(pa.array(source, pa.int64()))], ["cell", "query"])
                         cells, source = [], []
 
     behind = queries.join(far, "query", "left").where(F.col("far").isNull() | (F.col("far") > r))
-    further = stored(behind.select("query", "vec", "far").mapInArrow(visit_further, f"cell long, query long, vec {kind}"), "further")
-    again = search_groups(index, asked(further.where(F.col("cell").isNotNull())), k)
-    short = further.where(F.col("cell").isNull()).select("query", "vec")
-    exact_groups = max(1, math.ceil(n / GROUP_ROWS))
-    length = F.size("vec").cast("long").alias("cell")
-    all_points = points.select(F.pmod(F.xxhash64("vec"), F.lit(exact_groups)).alias("grp"), length, "ids", "vec")
-    all_short = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(exact_groups - 1).cast("long"))).alias("grp"), length, "query", "vec")
-    more = search_groups(all_points, all_short, k)
-    ranked = found.unionByName(again).unionByName(more).distinct().withColumn("rank", best).where(F.col("rank") <= k)
+    further = stored(behind.select("query", "vec", "far").mapInArrow(visit_further, "cell long, query long"), "further")
+    results = found
+    if further.where(F.col("cell").isNotNull()).limit(1).count():
+        results = results.unionByName(search_groups(index, asked(further.where(F.col("cell").isNotNull())), queries, k))
+    if further.where(F.col("cell").isNull()).limit(1).count():
+        short = further.where(F.col("cell").isNull()).select("query").join(queries, "query")
+        exact_groups = max(1, math.ceil(n / GROUP_ROWS))
+        length = F.size("vec").cast("long").alias("cell")
+        all_points = points.select(F.pmod(F.xxhash64("vec"), F.lit(exact_groups)).alias("grp"), length, "ids", "vec")
+        all_short = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(exact_groups - 1).cast("long"))).alias("grp"), length, "query")
+        results = results.unionByName(search_groups(all_points, all_short, queries, k))
+    ranked = results.distinct().withColumn("rank", best).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), F.col("distance").alias("score"))

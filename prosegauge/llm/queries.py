@@ -97,6 +97,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         F.col("mix_taken").alias("taken"),
+        F.col("mix_position").alias("position"),
     )
 
 

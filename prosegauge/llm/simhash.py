@@ -28,14 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stored, whole_groups
-from .graph import connected_components, spread_join
+from .graph import SMALL_ROWS, connected_components, spread_join
 
 SEED = 42
 #: Reference fingerprints of the pivot table, and members that a cell has on average at most.
 REFS = np.random.default_rng(7).integers(0, 2**64, 32, dtype=np.uint64)
 CELL_MEMBERS = 8
-#: Hot cells that are looked up in memory; of more, the lookup is a join.
-SMALL_ROWS = 50_000
 
 
 def fingerprint(text: bytes | None, words_per_shingle: int = 4) -> int:

@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -100,6 +101,53 @@ def test_further_probes_reach_the_chance_at_the_found_distance():
 def test_hits_of_both_tables_count_once(spark):
     rows = [(0, cell, [i], [float(i)]) for cell in (1, 2) for i in range(1, 31)]
     index = spark.createDataFrame(rows, "grp long, cell long, ids array<long>, vec array<double>")
-    visits = spark.createDataFrame([(0, cell, 0, [0.0]) for cell in (1, 2)], "grp long, cell long, query long, vec array<double>")
-    got = sorted((r.distance, r.id) for r in neighbours.search_groups(index, visits, 10).collect())
+    visits = spark.createDataFrame([(0, cell, 0) for cell in (1, 2)], "grp long, cell long, query long")
+    queries = spark.createDataFrame([(0, [0.0])], "query long, vec array<double>")
+    got = sorted((r.distance, r.id) for r in neighbours.search_groups(index, visits, queries, 10).collect())
     assert got == [(float(i), i) for i in range(1, 12)]
+
+
+def test_many_visits_to_a_group_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(50, 3))
+    tests = rng.normal(size=(40, 3))
+    index = spark.createDataFrame([(0, 7, [1000 + i], v.tolist()) for i, v in enumerate(points)], "grp long, cell long, ids array<long>, vec array<double>")
+    visits = spark.createDataFrame([(0, 7, q) for q in range(40)], "grp long, cell long, query long")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(tests)], "query long, vec array<double>")
+    want = {(q, 1000 + int(i)) for q, v in enumerate(tests) for i in np.argsort(((points - v) ** 2).sum(1))[:4]}
+    for rows in (10_000, 9):
+        monkeypatch.setattr(neighbours, "VISIT_ROWS", rows)
+        got = neighbours.search_groups(index, visits, queries, 3).collect()
+        assert {(r.query, r.id) for r in got} == want and len(got) == len(want)
+
+
+def test_functions_follow_the_cost():
+    rng = np.random.default_rng(2)
+    near_uniform = [v / np.linalg.norm(v) for v in rng.normal(size=(32, 64))]
+    assert neighbours.chosen_functions(near_uniform, 1.1, 10**6, 0.8) <= 5
+    apart = [10 * v for v in rng.normal(size=(32, 16))]  # neighbours near, all others far
+    few, many = (neighbours.chosen_functions(apart, 1.0, n, 0.8) for n in (10**4, 10**7))
+    assert few <= many
+    assert neighbours.chosen_functions(near_uniform, 1.1, 10**4, 0.8) < neighbours.chosen_functions(near_uniform, 1.1, 10**7, 0.8)
+    assert neighbours.chosen_functions([], 1.0, 0, 0.8) == 2
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_recall_of_the_index_on_embeddings(spark, monkeypatch, folder):
+    """Recall against brute force, without what the exact search adds."""
+    path = Path(f"/root/testdata/{folder}/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no test data")
+    table = spark.read.parquet(str(path))
+    ids, vectors = zip(*((r.vec_id, r.embedding) for r in table.collect()), strict=True)
+    m, ids = np.array(vectors, dtype=np.float64), np.array(ids)
+    monkeypatch.setattr(neighbours, "further_probes", lambda *a: [])
+    found = {}
+    for r in neighbours.nearest_neighbours(table).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = np.sort(np.sqrt(((np.delete(m, k, axis=0) - m[k]) ** 2).sum(axis=1)))[:10]
+        hits += sum(x <= d[-1] + 1e-9 for x in found.get(ids[k], []))
+        total += len(d)
+    assert hits >= 0.9 * total
