@@ -134,6 +134,16 @@ def syllables(word: Column) -> Column:
     return F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(groups)
 
 
+def long_word_count(words: Column) -> Column:
+    """How many of some words, joined by spaces, have three syllables or more; see syllables().
+
+    All words at once, so the expressions run over a text and not over each word.
+    """
+    letters = F.regexp_replace(F.lower(words), "[^a-z ]", "")
+    core = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?= |$)", ""), "(?<![a-z])y", "")
+    return F.regexp_count(core, F.lit("(?:[aeiouy]{1,2}+[^aeiouy ]*+){3,}+"))
+
+
 def en_sentences(c: Column | str, least_words: int = 3) -> Column:
     """Sentences of at least so many words, as an array."""
     flat = F.regexp_replace(col(c), r"(?U)\s+", " ")

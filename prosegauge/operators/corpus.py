@@ -33,10 +33,16 @@ def source_status(manifest: DataFrame, raw_ids: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", order_col: str = "doc_id") -> DataFrame:
-    """The document with the least order_col of each different text; only hashes are grouped."""
+    """The document with the least order_col of each different text; only hashes are grouped.
+
+    Documents meet the chosen ones by hash and order_col, so many copies crowd no task. Rows that
+    share the least order_col of a text all stay.
+    """
     hashed = docs.withColumn("text_hash", F.sha2(F.col(text_col).cast("binary"), 256))
     first = hashed.groupBy("text_hash").agg(F.min(order_col).alias("_first"), F.count("*").alias("n_copies"))
-    return hashed.join(first, "text_hash").where(F.col(order_col).eqNullSafe(F.col("_first"))).drop("_first")
+    chosen = first.withColumnRenamed("text_hash", "_hash")
+    same = (F.col("text_hash") == F.col("_hash")) & F.col(order_col).eqNullSafe(F.col("_first"))
+    return hashed.join(chosen, same).drop("_first", "_hash")
 
 
 def admitted(items: DataFrame, least_l1: int = 3, least_items: int = 12, least_nominal: float = 0.8) -> DataFrame:

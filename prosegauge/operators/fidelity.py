@@ -14,6 +14,8 @@ TOKENS = {
     "placeholder": r"\[[^\]\n]*필요\]|\{\{[^}\n]+\}\}",
     "footnote": r"\[\^[^\]\n]+\]",
 }
+#: Hashes that are held in memory to look runs of words up.
+MOST_HASHES = 1_000_000
 NEGATIONS = r"(?:지 않|지 못|(?<![가-힣])안 |(?<![가-힣])못 |없|아니)"
 
 
@@ -84,13 +86,18 @@ def shingles(words: Column, k: int) -> Column:
 def overlap(texts: DataFrame, examples: DataFrame, text_id: str, example_id: str, k: int = 4, text_col: str = "text") -> DataFrame:
     """(text_id, example_id, n): different shared runs of k words.
 
-    The runs meet by value in a hash join; repeats are dropped among the examples before it and
-    among the few matches after it.
+    The runs meet by value in a hash join, each once a text and once an example. Where the examples
+    have few different runs by count, runs of the texts that no example has, by a hash, never leave
+    their task.
     """
     def grams(df: DataFrame, key: str) -> DataFrame:  # words are bound once, not once a run
-        return df.select(key, T.tokens(text_col).alias("_w")).select(key, F.explode(shingles(F.col("_w"), k)).alias("gram"))
+        bound = df.select(key, T.tokens(text_col).alias("_w"))
+        return bound.select(key, F.explode(F.array_distinct(shingles(F.col("_w"), k))).alias("gram"))
 
-    a, b = grams(texts, text_id), grams(examples, example_id).distinct()
+    a, b = grams(texts, text_id), grams(examples, example_id)
+    hashes = b.select(F.xxhash64("gram").alias("_h")).distinct()
+    if hashes.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        a = a.withColumn("_h", F.xxhash64("gram")).join(F.broadcast(hashes), "_h", "left_semi").drop("_h")
     return a.join(b, "gram").distinct().groupBy(text_id, example_id).agg(F.count("*").alias("n"))
 
 

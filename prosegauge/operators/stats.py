@@ -96,7 +96,7 @@ def english_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
     base = docs.select(*keep, F.col(text_col).alias("_t"), T.en_sentences(text_col).alias("_s"), T.en_words(text_col).alias("_w"))
     counts = base.withColumns({
         "_c": F.transform("_s", lambda s: F.regexp_count(s, F.lit(fixed.EN_WORD))),
-        "n_long": F.size(F.filter("_w", lambda w: T.syllables(w) >= 3)),
+        "n_long": T.long_word_count(F.array_join("_w", " ")),
         "n_words": F.size("_w"),
         "n_sentences": F.size("_s"),
     })
@@ -142,36 +142,52 @@ def length_profile(sents: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _in_paragraph(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys, "para_no").orderBy("sent_no")
+def paragraph_lengths(docs: DataFrame, keep: list[str], text_col: str = "text", language: str = "en") -> DataFrame:
+    """(…keep, para_no, lens): the lengths of the sentences of each paragraph that has any.
 
+    A paragraph comes from one row, so sequences of its sentences are array functions: no shuffle.
+    """
+    split = T.en_sentences("paragraph") if language == "en" else T.ko_sentences("paragraph")
+    paras = L.paragraphs(docs.select(*keep, text_col), text_col)
+    return paras.select(*keep, "para_no", F.transform(split, F.length).alias("lens")).where(F.size("lens") > 0)
+
+
+def _neighbours(values: Column, pair) -> Column:
+    """pair(value, next value) of each two neighbours of an array."""
+    n = F.size(values) - 1
+    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), pair)
 
-def length_transitions(sents: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+
+def length_transitions(paras: DataFrame, by: list[str]) -> DataFrame:
     """Shares of the steps between the length classes of neighbouring sentences of a paragraph."""
-    cls = length_class(F.col("len"))
-    pairs = sents.withColumn("a", cls).withColumn("b", F.lead("a").over(_in_paragraph(keys))).where("b is not null")
-    return class_share(pairs.withColumn("step", F.concat("a", "b")), by, "step")
+    steps = _neighbours(F.col("lens"), lambda a, b: F.concat(length_class(a), length_class(b)))
+    return class_share(paras.select(*by, F.explode(steps).alias("step")), by, "step")
 
 
-def rhythm(sents: DataFrame, keys: list[str], by: list[str], k: int = 10) -> DataFrame:
+def rhythm(paras: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     """The most frequent patterns of length classes of whole paragraphs."""
-    ordered = F.array_sort(F.collect_list(F.struct("sent_no", length_class(F.col("len")).alias("c"))))
-    pattern = F.array_join(F.transform(ordered, lambda x: x["c"]), "")
-    keep = list(dict.fromkeys([*keys, *by]))
-    return top_k(sents.groupBy(*keep, "para_no").agg(pattern.alias("pattern")), by, "pattern", k)
+    pattern = F.array_join(F.transform("lens", length_class), "")
+    return top_k(paras.select(*by, pattern.alias("pattern")), by, "pattern", k)
 
 
-def after_long(sents: DataFrame, keys: list[str], by: list[str], long: int = 90, short: int = 40) -> DataFrame:
+def after_long(paras: DataFrame, by: list[str], long: int = 90, short: int = 40) -> DataFrame:
     """Length of the sentence that follows a long one."""
-    after = sents.withColumn("before", F.lag("len").over(_in_paragraph(keys))).where(F.col("before") >= long)
-    return after.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), T.share(F.col("len") <= short).alias("pct_short"))
+    after = F.filter(_neighbours(F.col("lens"), lambda a, b: F.when(a >= long, b)), lambda n: n.isNotNull())
+    rows = paras.select(*by, F.explode(after).alias("len"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), T.share(F.col("len") <= short).alias("pct_short"))
 
 
-def first_last(sents: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+def first_last(paras: DataFrame, by: list[str]) -> DataFrame:
     """Mean length of the first and of the last sentence of paragraphs."""
-    keep = list(dict.fromkeys([*keys, *by]))
-    ends = sents.groupBy(*keep, "para_no").agg(F.min_by("len", "sent_no").alias("f"), F.max_by("len", "sent_no").alias("l"))
-    return ends.groupBy(*by).agg(F.avg("f").alias("first_mean"), F.avg("l").alias("last_mean"), F.count("*").alias("n_paragraphs"))
+    return paras.groupBy(*by).agg(
+        F.avg(F.element_at("lens", 1)).alias("first_mean"), F.avg(F.element_at("lens", -1)).alias("last_mean"), F.count("*").alias("n_paragraphs")
+    )
+
+
+def consecutive_short(paras: DataFrame, by: list[str], most: int = 30) -> DataFrame:
+    """How often a sentence of at most so many characters follows another one in its paragraph."""
+    both = F.size(F.filter(_neighbours(F.col("lens"), lambda a, b: (a <= most) & (b <= most)), lambda x: x))
+    return paras.groupBy(*by).agg(F.sum(both).alias("n"))
 
 
 def comma_stats(sents: DataFrame, by: list[str]) -> DataFrame:

@@ -71,6 +71,10 @@ def sentence_rows(spark: SparkSession, d: str) -> DataFrame:
     return stats.sentence_rows(documents(spark, d), ["doc_id", "lang", "source"])
 
 
+def paragraph_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return stats.paragraph_lengths(documents(spark, d), ["doc_id", "lang"])
+
+
 @query("""SELECT lang, count(n_chars) AS n, avg(n_chars) AS mean, quantile_cont(n_chars, 0.5) AS median, quantile_cont(n_chars, 0.25) AS p25,
  quantile_cont(n_chars, 0.75) AS p75, quantile_cont(n_chars, 0.9) AS p90, max(n_chars) AS max FROM documents GROUP BY lang""")
 def doc_length_dist_by_lang(spark, d):
@@ -104,8 +108,9 @@ def en_style_stats(spark, d):
 @query(r"""WITH w AS (SELECT source, regexp_replace(lower(unnest(""" + WORDS.format(t="text") + r""")), '[^a-z]', '', 'g') AS w FROM documents WHERE lang = 'en')
 SELECT source, count(*) AS n_words, 100.0 * avg(CAST(""" + SYLLABLES.format(w="w") + r""" >= 3 AS INT)) AS pct_long FROM w GROUP BY source""")
 def syllable_long_word_share(spark, d):
-    words = documents(spark, d).where("lang = 'en'").select("source", F.explode(T.en_words("text")).alias("w"))
-    return words.groupBy("source").agg(F.count("*").alias("n_words"), T.share(T.syllables(F.col("w")) >= 3).alias("pct_long"))
+    words = documents(spark, d).where("lang = 'en'").select("source", T.en_words("text").alias("w"))
+    counts = words.select("source", F.size("w").alias("n"), T.long_word_count(F.array_join("w", " ")).alias("long")).where("n > 0")
+    return counts.groupBy("source").agg(F.sum("n").alias("n_words"), (F.lit(100.0) * (F.sum("long") / F.sum("n"))).alias("pct_long"))
 
 
 LEXICON = ("the", "and", "tion", "worthless", "token", "les", "para", "der", "@", "zzzz")
@@ -169,14 +174,14 @@ def html_text_segments(spark, d):
 n AS (SELECT lang, step, count(*) AS n FROM p WHERE step IS NOT NULL GROUP BY ALL)
 SELECT lang, step, n, 100.0 * n / sum(n) OVER (PARTITION BY lang) AS pct FROM n""")
 def length_transition(spark, d):
-    return stats.length_transitions(sentence_rows(spark, d), ["doc_id", "lang", "source"], ["lang"])
+    return stats.length_transitions(paragraph_lengths(spark, d), ["lang"])
 
 
 @query(SENTS + f""", p AS (SELECT doc_id, lang, para_no, string_agg({CLASS}, '' ORDER BY sent_no) AS pattern FROM sents GROUP BY ALL),
 n AS (SELECT lang, pattern, count(*) AS n FROM p GROUP BY ALL)
 SELECT lang, pattern, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, pattern) AS INT) AS rank FROM n QUALIFY rank <= 10""")
 def rhythm_topk(spark, d):
-    return stats.rhythm(sentence_rows(spark, d), ["doc_id", "lang"], ["lang"])
+    return stats.rhythm(paragraph_lengths(spark, d), ["lang"])
 
 
 @query(SENTS + """ SELECT lang, count(len) AS n, avg(len) AS mean, quantile_cont(len, 0.1) AS p10, quantile_cont(len, 0.25) AS p25, quantile_cont(len, 0.5) AS median,
@@ -189,13 +194,13 @@ def sentence_length_profile(spark, d):
 @query(SENTS + """, b AS (SELECT lang, len, lag(len) OVER (PARTITION BY doc_id, para_no ORDER BY sent_no) AS before FROM sents)
 SELECT lang, count(*) AS n, avg(len) AS mean, 100.0 * avg(CAST(len <= 40 AS INT)) AS pct_short FROM b WHERE before >= 90 GROUP BY lang""")
 def after_long_sentence(spark, d):
-    return stats.after_long(sentence_rows(spark, d), ["doc_id"], ["lang"])
+    return stats.after_long(paragraph_lengths(spark, d), ["lang"])
 
 
 @query(SENTS + """, e AS (SELECT lang, arg_min(len, sent_no) AS f, arg_max(len, sent_no) AS l FROM sents GROUP BY doc_id, lang, para_no)
 SELECT lang, avg(f) AS first_mean, avg(l) AS last_mean, count(*) AS n_paragraphs FROM e GROUP BY lang""")
 def first_last_sentence(spark, d):
-    return stats.first_last(sentence_rows(spark, d), ["doc_id", "lang"], ["lang"])
+    return stats.first_last(paragraph_lengths(spark, d), ["lang"])
 
 
 @query(SENTS + """, c AS (SELECT lang, length(sentence) - length(replace(sentence, ',', '')) AS k FROM sents)
@@ -222,8 +227,7 @@ def source_rollup(spark, d):
 p AS (SELECT doc_id, short, lag(short) OVER (PARTITION BY doc_id, para_no ORDER BY sent_no) AS before FROM f)
 SELECT doc_id, count(*) FILTER (short AND before) AS n FROM p GROUP BY doc_id HAVING n > 0""")
 def consecutive_short_sentences(spark, d):
-    rows = stats.consecutive(sentence_rows(spark, d), ["doc_id", "para_no"], "sent_no", F.col("len") <= 30)
-    return rows.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+    return stats.consecutive_short(paragraph_lengths(spark, d), ["doc_id"]).where("n > 0")
 
 
 @query("WITH " + PARAGRAPHS + r""", s AS (SELECT lang, len(""" + SENTENCES.format(t="paragraph") + r""") AS s FROM paras WHERE len(""" + WORDS.format(t="paragraph") + r""") >= 25)

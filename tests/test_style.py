@@ -199,9 +199,12 @@ def test_readers(spark, tmp_path):
 
 def test_stats(spark):
     sents = spark.createDataFrame([("d", 1, k, "x" * n, n) for k, n in enumerate([10, 50, 95, 20], 1)], "doc_id string, para_no int, sent_no int, sentence string, len int")
-    assert {r.step: r.n for r in stats.length_transitions(sents, ["doc_id"], ["doc_id"]).collect()} == {"SM": 1, "ML": 1, "LS": 1}
-    assert stats.rhythm(sents, ["doc_id"], ["doc_id"]).first().pattern == "SMLS"
-    assert stats.after_long(sents, ["doc_id"], ["doc_id"]).first().mean == 20.0
+    paras = spark.createDataFrame([(1, 1, [10, 50, 100, 20]), (2, 1, [5]), (2, 2, [30, 30, 31, 2])], "doc_id int, para_no int, lens array<int>")
+    assert {r.step: r.n for r in stats.length_transitions(paras.where("doc_id = 1"), ["doc_id"]).collect()} == {"SM": 1, "ML": 1, "LS": 1}
+    assert stats.rhythm(paras, ["doc_id"]).where("doc_id = 1").first().pattern == "SMLS"
+    assert stats.after_long(paras, ["doc_id"]).first().mean == 20.0
+    assert {r.doc_id: (r.first_mean, r.last_mean) for r in stats.first_last(paras, ["doc_id"]).collect()} == {1: (10.0, 20.0), 2: (17.5, 3.5)}
+    assert {r.doc_id: r.n for r in stats.consecutive_short(paras, ["doc_id"]).collect()} == {1: 0, 2: 1}
     assert [r.run_length for r in stats.runs(sents, ["doc_id"], "sent_no", F.col("len") > 30).collect()] == [2]
 
 
