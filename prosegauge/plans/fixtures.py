@@ -40,6 +40,16 @@ REWRITES = [
 ]
 
 
+def word_texts(rules) -> list[tuple[str, str]]:
+    """For each rule of literal words a text that has them all, once as prose, once as a list."""
+    found = []
+    for r in rules:
+        if not r.expression.startswith("`"):
+            words = [w.strip() for w in r.expression.split(" · ") if w.strip()]
+            found.append((f"words-{r.id}", "\n".join(f"여기에 {w} 보기." for w in words) + "\n\n" + "\n".join(f"- {w} 항목" for w in words)))
+    return found
+
+
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

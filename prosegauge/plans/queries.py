@@ -17,6 +17,7 @@ from ..operators import corpus, fidelity, items, lines, report_check, rules, seg
 from ..sources import readers
 from ..streaming import taste
 from . import fixtures as X
+from . import oracles as O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -317,7 +318,10 @@ def ko_ending_class(spark, d):
     return rows.select("id", endings.ending("text")["ending_class"].alias("ending_class"))
 
 
-@query()
+@query(BRIEF_SQL + r""", h AS (SELECT i.*, kind = 'HEAD' AND (g.opener <> 'BULLET' OR closes) AS head FROM i JOIN g USING (doc, island)),
+b2 AS (SELECT *, head AND NOT coalesce(lag(head) OVER w AND lag(page) OVER w = page, false) AS start FROM h WINDOW w AS (PARTITION BY doc ORDER BY page, line_no)),
+n2 AS (SELECT *, sum(CAST(start AS INT)) OVER (PARTITION BY doc ORDER BY page, line_no) AS heading_no FROM b2)
+SELECT doc, CAST(heading_no AS BIGINT) AS heading_no, string_agg(line, ' ' ORDER BY page, line_no) AS heading FROM n2 WHERE head GROUP BY doc, heading_no""")
 def ko_headings(spark, d):
     return items.headings(briefs(spark), ["doc"])
 
@@ -326,17 +330,17 @@ def reports(spark: SparkSession) -> DataFrame:
     return X.frame(spark, X.REPORTS, "doc_id string, text string")
 
 
-@query()
+@query(O.report_bullets(X.values(X.REPORTS, "doc_id, text"), 400))
 def report_check_findings(spark, d):
     return report_check.check_reports(reports(spark), "bullet", limit=400)
 
 
-@query()
+@query(O.report_prose(X.values(X.REPORTS, "doc_id, text")))
 def report_check_prose(spark, d):
     return report_check.check_reports(reports(spark), "prose")
 
 
-@query()
+@query(O.report_verdicts(X.values(X.REPORTS, "doc_id, text")))
 def report_check_verdicts(spark, d):
     docs = reports(spark)
     return report_check.verdicts(docs, report_check.check_reports(docs, "bullet"))
@@ -367,12 +371,35 @@ def ai_tell_findings(spark, d):
     return rules.findings(segments.segments(docs))
 
 
-@query()
+@query(O.rule_findings(X.values([*X.RULE_TEXTS, *X.word_texts(O.plain_rules())], "doc_id, text")))
+def ai_tell_plain_findings(spark, d):
+    """The rules that need no lookaround, over texts of their own words too."""
+    plain = O.plain_rules()
+    docs = X.frame(spark, [*X.RULE_TEXTS, *X.word_texts(plain)], "doc_id string, text string")
+    return rules.findings(segments.segments(docs), plain)
+
+
+@query(O.rule_findings("documents"))
+def ai_tell_plain_documents(spark, d):
+    return rules.findings(segments.segments(documents(spark, d)), O.plain_rules())
+
+
+@query(O.report_prose("documents", 3000))
+def report_check_prose_documents(spark, d):
+    return report_check.check_reports(documents(spark, d), "prose", limit=3000)
+
+
+@query(O.report_bullets("documents", 3000))
+def report_check_documents(spark, d):
+    return report_check.check_reports(documents(spark, d), "bullet", limit=3000)
+
+
+@query(O.md_segments(X.values(X.RULE_TEXTS, "doc_id, text")))
 def md_segments(spark, d):
     return segments.segments(X.frame(spark, X.RULE_TEXTS, "doc_id string, text string"))
 
 
-@query()
+@query(O.segment_counts("documents"))
 def md_segments_documents(spark, d):
     found = segments.segments(documents(spark, d))
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -408,7 +435,7 @@ def stable_flags(spark, d):
     return targets.stable_booleans(lab.select("doc_id", F.inline(pairs)))
 
 
-@query()
+@query(O.post_targets(X.values(X.RULE_TEXTS, "slug, body"), X.values([(a, c, d_, e) for a, _, c, d_, e, _ in fixed.TARGETS], "metric, level, lo, hi")))
 def post_target_check(spark, d):
     posts = X.frame(spark, X.RULE_TEXTS, "slug string, body string")
     return targets.evaluate(targets.unpivot(targets.post_metrics(posts), "slug"), targets.published_targets(spark))
@@ -421,7 +448,7 @@ def taste_promotion(spark, d):
     return taste.promote(X.frame(spark, X.CASES, "case_id string, rule string, comment string"))
 
 
-@query()
+@query(O.fidelity(X.values(X.REWRITES, "id, a, b"), fidelity.TOKENS))
 def rewrite_fidelity(spark, d):
     rows = X.frame(spark, X.REWRITES, "id string, a string, b string")
     return fidelity.compare(rows.select("id", F.col("a").alias("text")), rows.select("id", F.col("b").alias("text")))
