@@ -32,14 +32,14 @@ def raw_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def head_checks(lines: DataFrame) -> DataFrame:
-    """Title (H1) and opening lines (H2)."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    full = lines.where(F.trim("line") != "").withColumn("n", F.row_number().over(w)).where("n <= 4")
-    head = full.groupBy("doc_id").agg(
-        F.max(F.when(F.col("n") == 1, F.trim(T.strip_md("line")))).alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", T.strip_md("line").alias("t"))))), lambda x: x["t"]), " ").alias("opening"),
-        F.max("n").alias("lines"),
+def head_checks(docs: DataFrame) -> DataFrame:
+    """Title (H1) and opening lines (H2); documents without a line that is not blank are left out."""
+    full = docs.select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 4).alias("first")).where(F.size("first") > 0)
+    head = full.select(
+        "doc_id",
+        F.trim(T.strip_md(F.col("first")[0])).alias("title"),
+        F.array_join(F.transform(F.slice("first", 2, 3), T.strip_md), " ").alias("opening"),
+        F.size("first").alias("lines"),
     )
     titled = head.where("title <> ''")
     long = F.length(F.replace("title", F.lit(" "), F.lit("")))
@@ -55,25 +55,50 @@ def head_checks(lines: DataFrame) -> DataFrame:
 
 
 def item_checks(lines: DataFrame) -> DataFrame:
-    """Bullet items: depth, length, endings, evidence, connectives, only children (H3 to H8)."""
-    items = I.checker_items(lines)
-    top = items.where("level < 4")
-    depth = top.groupBy("doc_id").agg(F.max("level").alias("depth"))
-    n = T.nospace_len(T.unquoted("text"))
-    evidence = items.where(F.col("level").isin(2, 3)).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(T.has_digit("text").cast("int")).alias("share"))
-    starts = T.connective("text", fixed.CHECK_CONNECTIVES).isNotNull()
-    connected = top.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(starts.cast("int")).alias("share"))
-    none = lines.select("doc_id").distinct().join(items.select("doc_id").distinct(), "doc_id", "left_anti")
-    return (
-        _rows(depth.where("depth > 3"), "hard", "H3", value=F.col("depth"))
-        .unionByName(_rows(top.where(n > 120), "hard", "H4a", F.col("line_no"), n))
-        .unionByName(_rows(top.where(n.between(91, 120)), "soft", "H4b", F.col("line_no"), n))
-        .unionByName(_rows(top.where(checked_ending("text") == "sentence"), "hard", "H5", F.col("line_no")))
-        .unionByName(_rows(evidence.where("n >= 4 and share < 0.5"), "soft", "H6", value=F.col("share")))
-        .unionByName(_rows(connected.where("n >= 5 and share > 0.15"), "soft", "H7", value=F.col("share")))
-        .unionByName(_rows(I.only_children(items), "soft", "H8", F.col("line_no")))
-        .unionByName(_rows(none, "info", "no_items"))
-    )
+    """Bullet items: depth, length, endings, evidence, connectives, only children (H3 to H8).
+
+    One pass over the items of a document in their order; what concerns the whole document is
+    reported with its first item.
+    """
+    level, no = F.col("level"), F.col("item_no")
+    doc, through = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("item_no")
+    top = level < 4
+    starts = T.connective("text", fixed.CHECK_CONNECTIVES).isNotNull().cast("int")
+    placed = I.checker_items(lines).withColumns({
+        "g1": F.count_if(level == 1).over(through),  # a level's children come before the next item of it or above
+        "g2": F.count_if(level <= 2).over(through),
+        "n": T.nospace_len(T.unquoted("text")),
+        "depth": F.max(F.when(top, level)).over(doc),
+        "n_evidence": F.count_if(level.isin(2, 3)).over(doc),
+        "evidence": F.avg(F.when(level.isin(2, 3), T.has_digit("text").cast("int"))).over(doc),
+        "n_top": F.count_if(top).over(doc),
+        "connected": F.avg(F.when(top, starts)).over(doc),
+    }).withColumns({
+        "kids1": F.count_if(level == 2).over(Window.partitionBy("doc_id", "g1")),
+        "kids2": F.count_if(level == 3).over(Window.partitionBy("doc_id", "g2")),
+    })
+
+    def one(severity: str, rule: str, when: Column, line: Column | None = None, value: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.when(when, F.struct(
+            F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), (none if line is None else line).cast("int").alias("line_no"),
+            (none if value is None else value).cast("double").alias("value"), none.cast("string").alias("term"),
+        ))
+
+    n, line = F.col("n"), F.col("line_no")
+    only = ((level == 1) & (F.col("kids1") == 1)) | ((level == 2) & (F.col("kids2") == 1))
+    found = F.array_compact(F.array(
+        one("hard", "H3", (no == 1) & (F.col("depth") > 3), value=F.col("depth")),
+        one("hard", "H4a", top & (n > 120), line, n),
+        one("soft", "H4b", top & n.between(91, 120), line, n),
+        one("hard", "H5", top & (checked_ending("text") == "sentence"), line),
+        one("soft", "H6", (no == 1) & (F.col("n_evidence") >= 4) & (F.col("evidence") < 0.5), value=F.col("evidence")),
+        one("soft", "H7", (no == 1) & (F.col("n_top") >= 5) & (F.col("connected") > 0.15), value=F.col("connected")),
+        one("soft", "H8", only, line),
+    ))
+    # A document without a bullet has no items.
+    bare = I.checker_marks(lines).groupBy("doc_id").agg(F.bool_or(F.col("sym").isNotNull()).alias("any")).where("not any")
+    return placed.select("doc_id", F.inline(found)).unionByName(_rows(bare, "info", "no_items"))
 
 
 def prose_checks(docs: DataFrame) -> DataFrame:
@@ -138,7 +163,7 @@ def check_reports(docs: DataFrame, mode: str = "bullet", limit: int | None = Non
     docs = docs.select("doc_id", "text")
     lines = raw_lines(docs)
     body = item_checks(lines) if mode == "bullet" else prose_checks(docs)
-    return head_checks(lines).unionByName(body).unionByName(text_checks(docs, limit)).select(*SCHEMA)
+    return head_checks(docs).unionByName(body).unionByName(text_checks(docs, limit)).select(*SCHEMA)
 
 
 def verdicts(docs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import textprims as T
 from ..functions.rule_table import TABLE
@@ -137,82 +136,90 @@ def _sentence_counts(pattern: str) -> Column:
     return F.transform(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_count(s, F.lit(_java(pattern))))
 
 
-# Structure detectors: key -> (segments, rule) -> rows (doc_id, unit_no, n)
+# Structure detectors: key -> rule -> array of (unit_no, n) of a document, whose segments in their
+# order are the array segs.
 
+_HITS = "array<struct<unit_no:int,n:bigint>>"
 
-def _list_runs(segments: DataFrame) -> DataFrame:
-    """List items with the number of the unbroken list that they belong to."""
-    doc = Window.partitionBy("doc_id").orderBy("seg_no")
-    starts = (F.col("kind") == "list") & (F.coalesce(F.lag("kind").over(doc), F.lit("")) != "list")
-    return segments.withColumn("list_no", F.sum(starts.cast("int")).over(doc)).where("kind = 'list'")
 
+def _hit(unit_no: Column, n: Column) -> Column:
+    return F.struct(unit_no.cast("int").alias("unit_no"), n.cast("bigint").alias("n"))
 
-def triad_lists(segments: DataFrame, rule: Rule) -> DataFrame:
-    sizes = _list_runs(segments).groupBy("doc_id", "list_no").agg(F.count("*").alias("size"))
-    docs = sizes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("size").alias("a"), F.max("size").alias("b"))
-    return docs.where((F.col("a") == 3) & (F.col("b") == 3) & (F.col("n") >= (rule.threshold or 3))).select("doc_id", F.lit(0).alias("unit_no"), "n")
 
+def _if(condition: Column, n: Column, unit_no: Column | None = None) -> Column:
+    """One hit where a condition holds, else none."""
+    return F.when(condition, F.array(_hit(F.lit(0) if unit_no is None else unit_no, n))).otherwise(F.array().cast(_HITS))
 
-def short_run(segments: DataFrame, rule: Rule) -> DataFrame:
-    lengths = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: s != ""), lambda s: T.nospace_len(s))
-    longest = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda a, n: F.struct(F.when(n <= SHORT, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(n <= SHORT, a["now"] + 1).otherwise(0)).alias("best")),
-    )["best"]
-    return segments.where("kind = 'prose'").withColumn("n", longest).where(F.col("n") >= SHORT_RUN).select("doc_id", F.col("seg_no").alias("unit_no"), "n")
 
+def _segments(*kinds: str) -> Column:
+    return F.filter("segs", lambda s: s["kind"].isin(*kinds))
 
-def _ends(segments: DataFrame, last: bool, kinds: tuple[str, ...] = ("prose",)) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy(F.desc("seg_no") if last else "seg_no")
-    return segments.where(F.col("kind").isin(*kinds)).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
+def _sentences(text: Column, newline: bool = False) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+|\n" if newline else r"(?<=[.!?])\s+"), lambda s: s != "")
 
-def closing_kicker(segments: DataFrame, rule: Rule) -> DataFrame:
-    one = F.size(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s != "")) == 1
-    end = _ends(segments, True).where(one & (F.length("text") <= (rule.threshold or 40)) & ~T.has_digit("text"))
-    return end.select("doc_id", F.col("seg_no").alias("unit_no"), F.lit(1).alias("n"))
 
+def triad_lists(rule: Rule) -> Column:
+    kinds = F.array_join(F.transform("segs", lambda s: F.when(s["kind"] == "list", "l").otherwise("-")), "")
+    lists = F.regexp_extract_all(kinds, F.lit("l+"), F.lit(0))
+    return _if((F.size(lists) >= (rule.threshold or 3)) & F.forall(lists, lambda x: F.length(x) == 3), F.size(lists))
 
-def bold_label_run(segments: DataFrame, rule: Rule) -> DataFrame:
-    items = _list_runs(segments).withColumn("bold", F.col("text").rlike(r"^\*\*[^*\n]{1,40}\*\*\s?[:：]|^\*\*[^*\n]{1,40}[:：]\*\*"))
-    w = Window.partitionBy("doc_id", "list_no").orderBy("seg_no")
-    runs = items.withColumn("run", F.sum((~F.col("bold")).cast("int")).over(w)).where("bold")
-    sized = runs.groupBy("doc_id", "list_no", "run").agg(F.count("*").alias("n"), F.min("seg_no").alias("unit_no"))
-    return sized.where(F.col("n") >= (rule.threshold or 3)).select("doc_id", "unit_no", "n")
 
+def short_run(rule: Rule) -> Column:
+    def longest(text: Column) -> Column:
+        runs = F.array_join(F.transform(_sentences(text, True), lambda s: F.when(T.nospace_len(s) <= SHORT, "s").otherwise("-")), "")
+        return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(runs, F.lit("s+"), F.lit(0)), F.length)), F.lit(0))
 
-def emoji(segments: DataFrame, rule: Rule) -> DataFrame:
-    used = segments.where(F.col("kind").isin(*rule.scope))
+    return F.filter(F.transform(_segments("prose"), lambda s: _hit(s["seg_no"], longest(s["text"]))), lambda h: h["n"] >= SHORT_RUN)
+
+
+def closing_kicker(rule: Rule) -> Column:
+    end = F.try_element_at(_segments("prose"), F.lit(-1))
+    text = end["text"]
+    return _if((F.size(_sentences(text)) == 1) & (F.length(text) <= (rule.threshold or 40)) & ~T.has_digit(text), F.lit(1), end["seg_no"])
+
+
+def bold_label_run(rule: Rule) -> Column:
+    bold = r"^\*\*[^*\n]{1,40}\*\*\s?[:：]|^\*\*[^*\n]{1,40}[:：]\*\*"
+    marks = F.array_join(F.transform("segs", lambda s: F.when((s["kind"] == "list") & s["text"].rlike(bold), "B").otherwise("-")), "")
+    starts = F.filter(F.sequence(F.lit(1), F.length(marks)), lambda i: (F.substr(marks, i, F.lit(1)) == "B") & ((i == 1) | (F.substr(marks, i - 1, F.lit(1)) != "B")))
+    sized = F.transform(starts, lambda i: _hit(F.element_at("segs", i)["seg_no"], F.length(F.regexp_extract(F.substr(marks, i), "^B+", 0))))
+    return F.filter(sized, lambda h: h["n"] >= (rule.threshold or 3))
+
+
+def emoji(rule: Rule) -> Column:
+    used = _segments(*rule.scope)
     if rule.skips_last:
-        used = used.where("not is_last")
-    docs = used.groupBy("doc_id").agg(F.sum(T.emoji_count("text")).alias("n"))
-    return docs.where(F.col("n") >= (rule.threshold or 1)).select("doc_id", F.lit(0).alias("unit_no"), "n")
+        used = F.filter(used, lambda s: ~s["is_last"])
+    n = F.aggregate(used, F.lit(0), lambda a, s: a + T.emoji_count(s["text"]))
+    return _if(n >= (rule.threshold or 1), n)
+
 
+def heading_echo(rule: Rule) -> Column:
+    def echo(head: Column, body: Column) -> Column:
+        first = F.split(body["text"], r"(?<=[.!?])\s+|\n")[0]
+        words = F.array_distinct(T.tokens(head["text"]))
+        said = F.forall(words, lambda x: F.contains(first, x)) & (F.size(words) > 0)
+        hit = (head["kind"] == "heading") & body["kind"].isin("prose", "list") & (F.length(first) <= (rule.threshold or 40)) & said
+        return F.when(hit, _hit(head["seg_no"], F.lit(1)))
 
-def heading_echo(segments: DataFrame, rule: Rule) -> DataFrame:
-    doc = Window.partitionBy("doc_id").orderBy("seg_no")
-    pairs = segments.withColumns({"next_kind": F.lead("kind").over(doc), "next_text": F.lead("text").over(doc)})
-    first = F.split("next_text", r"(?<=[.!?])\s+|\n")[0]
-    words = F.array_distinct(T.tokens("text"))
-    repeated = F.size(F.filter(words, lambda x: F.contains(first, x))) == F.size(words)
-    hit = (F.col("kind") == "heading") & F.col("next_kind").isin("prose", "list") & (F.length(first) <= (rule.threshold or 40)) & repeated & (F.size(words) > 0)
-    return pairs.where(hit).select("doc_id", F.col("seg_no").alias("unit_no"), F.lit(1).alias("n"))
+    n = F.size("segs") - 1
+    return F.array_compact(F.zip_with(F.slice("segs", 1, n), F.slice("segs", 2, n), echo))
 
 
-def para_closer(segments: DataFrame, rule: Rule) -> DataFrame:
-    prose = segments.where("kind = 'prose'")
-    w = Window.partitionBy("doc_id").orderBy(F.desc("seg_no"))
-    last = F.try_element_at(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s != ""), F.lit(-1))
-    marked = prose.withColumns({"r": F.row_number().over(w), "closer": last.rlike("^(?:결국|이처럼|이렇게|요컨대|즉)")}).where("r > 1")
-    docs = marked.groupBy("doc_id").agg(F.count_if("closer").alias("n"), F.count("*").alias("total"))
-    return docs.where((F.col("n") > 0) & (F.col("n") * 100 >= F.col("total") * (rule.threshold or 50))).select("doc_id", F.lit(0).alias("unit_no"), "n")
+def para_closer(rule: Rule) -> Column:
+    prose = _segments("prose")
+    rest = F.slice(prose, F.lit(1), F.greatest(F.size(prose) - 1, F.lit(0)))
+    closes = lambda s: F.try_element_at(_sentences(s["text"]), F.lit(-1)).rlike("^(?:결국|이처럼|이렇게|요컨대|즉)")
+    n = F.size(F.filter(rest, closes))
+    return _if((n > 0) & (n * 100 >= F.size(rest) * (rule.threshold or 50)), n)
 
 
 def _end_pattern(last: bool):
-    def run(segments: DataFrame, rule: Rule) -> DataFrame:
+    def run(rule: Rule) -> Column:
         pattern = _java(rule.pattern.split("::", 1)[1].strip())
-        end = _ends(segments, last, ("prose", "list")).withColumn("n", F.regexp_count("text", F.lit(pattern)))
-        return end.where(F.col("n") >= (rule.threshold or 1)).select("doc_id", F.lit(0).alias("unit_no"), "n")
+        n = F.regexp_count(F.try_element_at(_segments("prose", "list"), F.lit(-1 if last else 1))["text"], F.lit(pattern))
+        return _if(n >= (rule.threshold or 1), n)
 
     return run
 
@@ -230,15 +237,25 @@ STRUCTURES = {
 }
 
 
+def _named(rule: Rule, hits: Column) -> Column:
+    names = [F.lit(v).alias(c) for c, v in (("rule_id", rule.id), ("severity", rule.severity), ("unit", rule.unit or "문서"))]
+    return F.transform(hits, lambda h: F.struct(*names, h["unit_no"].alias("unit_no"), h["n"].alias("n")))
+
+
 def structure_findings(segments: DataFrame, rules: list[Rule], genre: str | None = None) -> DataFrame:
-    out = segments.select("doc_id", F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("unit"), F.lit(0).alias("unit_no"), F.lit(0).cast("long").alias("n")).limit(0)
+    """Findings of the structure rules: segments are gathered once a document, and all detectors are
+    expressions over that row."""
+    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "kind", "text", "is_last")))
+    docs = segments.groupBy("doc_id").agg(ordered.alias("segs"))
+    found = []
     for r in rules:
         key = r.pattern.split("::", 1)[0].strip()
         if r.detector != "structure" or key not in STRUCTURES or (genre is not None and r.genre not in (COMMON, genre)):
             continue
-        rows = STRUCTURES[key](segments, r)
-        out = out.unionByName(rows.select("doc_id", F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.unit or "문서").alias("unit"), "unit_no", F.col("n").cast("long").alias("n")))
-    return out
+        found.append(_named(r, STRUCTURES[key](r)))
+    if not found:
+        return docs.select("doc_id", F.lit("").alias("rule_id"), F.lit("").alias("severity"), F.lit("").alias("unit"), F.lit(0).alias("unit_no"), F.lit(0).cast("long").alias("n")).limit(0)
+    return docs.select("doc_id", F.inline(F.concat(*found)))
 
 
 def verdicts(found: DataFrame, docs: DataFrame, strict: tuple[str, ...] = ("S1", "S2")) -> DataFrame:
