@@ -14,6 +14,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(value: str) -> str:
+    """A string literal of Spark SQL. Long expressions over data are built as one SQL text, since
+    building them column by column takes a call to the JVM for each part."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_pattern(words: tuple[str, ...]) -> str:
     """Alternation of literal strings, the longer first so that a prefix does not hide them."""
     return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))

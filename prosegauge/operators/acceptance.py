@@ -25,6 +25,24 @@ def fill_after_absence(docs: DataFrame, within: int = 2) -> DataFrame:
     return sents.withColumn("after", missing).where(F.col("after") & T.has_digit("s")).select("doc_id", "sent_no")
 
 
+#: Rules that are delegated: the targets, or the report checker's rule, that decide them.
+DELEGATED = {"AT-40": ("pct_conj_start",), "AT-42": ("pct_short_le35", "pct_long_gt70", "sent_per_para_mean", "pct_para_1")}
+DELEGATED_TERMS = {"AT-41": "S1c"}
+
+
+def delegated(docs: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, severity, n) of the delegated rules for docs (doc_id, text): n counts the
+    targets of a rule that are missed, or the uses of its expressions."""
+    metrics = targets.unpivot(targets.post_metrics(docs, "doc_id", "text"))
+    missed = targets.evaluate(metrics, targets.published_targets(docs.sparkSession)).where("not ok")
+    cases = " ".join(f"WHEN {T.quoted(m)} THEN {T.quoted(r)}" for r, names in DELEGATED.items() for m in names)
+    by_target = missed.select("doc_id", F.expr(f"CASE metric {cases} END").alias("rule_id"), F.lit(1.0).alias("value"))
+    cases = " ".join(f"WHEN {T.quoted(name)} THEN {T.quoted(r)}" for r, name in DELEGATED_TERMS.items())
+    by_term = report_check.text_checks(docs).select("doc_id", F.expr(f"CASE rule_id {cases} END").alias("rule_id"), "value")
+    found = by_target.unionByName(by_term).where("rule_id is not null").groupBy("doc_id", "rule_id").agg(F.sum("value").cast("long").alias("n"))
+    return found.select("doc_id", "rule_id", F.lit("S2").alias("severity"), "n")
+
+
 def check_all(docs: DataFrame, original: DataFrame | None = None, genre: str = "줄글", report: bool = False) -> DataFrame:
     """Findings (doc_id, checker, rule_id, severity, blocks, value) of every checker for docs (doc_id, text).
 

@@ -129,10 +129,10 @@ def text_checks(docs: DataFrame, limit: int | None = None, most_terms: int = 10,
     Terms of the word lists come as their most_terms most frequent, by list.
     """
     def terms(rule: str, patterns: dict[str, str], top: int | None) -> Column:
-        found = F.array(*(F.struct((-F.regexp_count("text", F.lit(p))).alias("k"), F.lit(i).alias("i"), F.lit(t).alias("term")) for i, (t, p) in enumerate(patterns.items())))
-        used = F.filter(found, lambda x: x["k"] < 0)
-        used = F.slice(F.array_sort(used), 1, top) if top else used
-        return F.transform(used, lambda x: F.struct(F.lit("soft").alias("severity"), F.lit(rule).alias("rule_id"), (-x["k"]).cast("double").alias("value"), x["term"].alias("term")))
+        cells = ", ".join(f"struct(-regexp_count(text, {T.quoted(p)}) AS k, {i} AS i, {T.quoted(t)} AS term)" for i, (t, p) in enumerate(patterns.items()))
+        used = f"filter(array({cells}), x -> x.k < 0)"
+        used = f"slice(array_sort({used}), 1, {top})" if top else used
+        return F.expr(f"transform({used}, x -> struct('soft' AS severity, '{rule}' AS rule_id, cast(-x.k AS double) AS value, x.term AS term))")
 
     def one(severity: str, rule: str, value: Column, when: Column) -> Column:
         row = F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), value.cast("double").alias("value"), F.lit(None).cast("string").alias("term"))

@@ -75,40 +75,36 @@ def _java(pattern: str) -> str:
     return f"(?mU){pattern}"
 
 
-def _hits(rule: Rule, pattern: str) -> Column:
-    """Matches of a rule in a segment, sentence by sentence where an exception may excuse one."""
-    count = F.regexp_count("text", F.lit(_java(pattern)))
+#: Where the sentences of a segment end.
+SENTENCE_END = r"(?<=[.!?])\s+|\n"
+
+
+def _hits(rule: Rule) -> str:
+    """SQL: matches of a rule in a segment, sentence by sentence where an exception may excuse one."""
+    pattern = T.quoted(_java(rule.pattern))
+    count = f"regexp_count(text, {pattern})"
     if rule.exception_pattern:
-        sentences = F.split("text", r"(?<=[.!?])\s+|\n")
-        kept = F.filter(sentences, lambda s: ~F.regexp_like(s, F.lit(_java(rule.exception_pattern))))
-        count = F.aggregate(kept, F.lit(0), lambda a, s: a + F.regexp_count(s, F.lit(_java(pattern))))
+        kept = f"filter(split(text, {T.quoted(SENTENCE_END)}), s -> NOT regexp_like(s, {T.quoted(_java(rule.exception_pattern))}))"
+        count = f"aggregate({kept}, 0, (a, s) -> a + regexp_count(s, {pattern}))"
     if rule.skips_last:
-        count = F.when(F.col("is_last"), 0).otherwise(count)
-    return count
+        count = f"CASE WHEN is_last THEN 0 ELSE {count} END"
+    return f"CASE WHEN kind IN ({', '.join(map(T.quoted, rule.scope))}) THEN {count} ELSE 0 END"
 
 
 def rule_hits(segments: DataFrame, rules: list[Rule], genre: str | None = None) -> DataFrame:
     """(doc_id, seg_no, rule_id, n) for regex, literal and density rules; genre None takes all."""
     run = [r for r in rules if r.detector in ("regex", "literal", "density") and (genre is None or r.genre in (COMMON, genre))]
-    cells = [
-        F.struct(F.lit(r.id).alias("rule_id"), F.when(F.col("kind").isin(*r.scope), _hits(r, r.pattern)).otherwise(0).alias("n"))
-        for r in run
-    ]
-    if not cells:
-        return segments.select("doc_id", "seg_no", F.lit("").alias("rule_id"), F.lit(0).alias("n")).limit(0)
-    return segments.select("doc_id", "seg_no", "text", F.explode(F.array(*cells)).alias("h")).select("doc_id", "seg_no", "text", "h.rule_id", "h.n").where("n > 0")
+    if not run:
+        return segments.select("doc_id", "seg_no", "text", F.lit("").alias("rule_id"), F.lit(0).alias("n")).limit(0)
+    cells = ", ".join(f"struct({T.quoted(r.id)} AS rule_id, {_hits(r)} AS n)" for r in run)
+    return segments.select("doc_id", "seg_no", "text", F.expr(f"explode(array({cells})) AS h")).select("doc_id", "seg_no", "text", "h.rule_id", "h.n").where("n > 0")
 
 
 def _limits(rules: list[Rule]) -> tuple[Column, Column, Column]:
-    def lookup(values: dict[str, object], kind: str) -> Column:
-        pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind))]
-        return F.element_at(F.create_map(*pairs), F.col("rule_id"))
+    def of_rule(value) -> Column:
+        return F.expr(f"element_at(map({', '.join(f'{T.quoted(r.id)}, {value(r)}' for r in rules)}), rule_id)")
 
-    return (
-        lookup({r.id: r.severity for r in rules}, "string"),
-        lookup({r.id: r.threshold or 1 for r in rules}, "int"),
-        lookup({r.id: r.unit or "문서" for r in rules}, "string"),
-    )
+    return of_rule(lambda r: T.quoted(r.severity)), of_rule(lambda r: r.threshold or 1), of_rule(lambda r: T.quoted(r.unit or "문서"))
 
 
 def findings(segments: DataFrame, rules: list[Rule] | None = None, genre: str | None = None) -> DataFrame:
@@ -116,6 +112,8 @@ def findings(segments: DataFrame, rules: list[Rule] | None = None, genre: str |
     a unit whose count reaches the threshold. Structure rules are included."""
     rules = load_rules() if rules is None else rules
     hits = rule_hits(segments, rules, genre)
+    if not rules:
+        return structure_findings(segments, rules, genre)
     severity, least, unit = _limits(rules)
     marked = hits.withColumns({"severity": severity, "least": least, "unit": unit})
     # Sentence units need the counts of each sentence; only rules of that unit are split.
@@ -133,7 +131,7 @@ def findings(segments: DataFrame, rules: list[Rule] | None = None, genre: str |
 
 
 def _sentence_counts(pattern: str) -> Column:
-    return F.transform(F.split("text", r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_count(s, F.lit(_java(pattern))))
+    return F.transform(F.split("text", SENTENCE_END), lambda s: F.regexp_count(s, F.lit(_java(pattern))))
 
 
 # Structure detectors: key -> rule -> array of (unit_no, n) of a document, whose segments in their

@@ -286,3 +286,16 @@ def fidelity(source: str, kinds: dict[str, str]) -> str:
         " SELECT id, kind, token, coalesce(x.n, 0) AS n_original, coalesce(y.n, 0) AS n_result, CASE WHEN x.n IS NULL THEN 'invented' ELSE 'lost' END AS verdict"
         " FROM x FULL JOIN y USING (id, kind, token) WHERE x.n IS NULL OR coalesce(y.n, 0) < x.n"
     )
+
+
+def delegated(source: str, targets: str, metrics: dict[str, tuple[str, ...]], terms: dict[str, str]) -> str:
+    """source: (doc_id, text). The delegated rules over the SQL of the targets and of the word lists."""
+    cases = " ".join(f"WHEN metric = '{m}' THEN '{r}'" for r, names in metrics.items() for m in names)
+    rule, name = next(iter(terms.items()))
+    posts = post_targets(f"(SELECT doc_id AS slug, text AS body FROM {source})", targets)
+    words_sql = _terms(name, [(p, p) for p in fixed.TRANSLATED], None)
+    return (
+        f"WITH src AS (SELECT doc_id, text FROM {source}), x AS (SELECT doc_id, CASE {cases} END AS rule_id, 1.0 AS value FROM ({posts}) WHERE NOT ok"
+        f" UNION ALL SELECT doc_id, '{rule}', value FROM ({words_sql}))"
+        " SELECT doc_id, rule_id, 'S2' AS severity, CAST(sum(value) AS BIGINT) AS n FROM x WHERE rule_id IS NOT NULL GROUP BY doc_id, rule_id"
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import endings, fixed
 from ..functions import textprims as T
-from ..operators import corpus, fidelity, items, lines, report_check, rules, segments, stats, targets
+from ..operators import acceptance, corpus, fidelity, items, lines, report_check, rules, segments, stats, targets
 from ..sources import readers
 from ..streaming import taste
 from . import fixtures as X
@@ -384,6 +384,20 @@ def ai_tell_plain_documents(spark, d):
     return rules.findings(segments.segments(documents(spark, d)), O.plain_rules())
 
 
+TARGET_ROWS = X.values([(a, c, d_, e) for a, _, c, d_, e, _ in fixed.TARGETS], "metric, level, lo, hi")
+
+
+@query(O.delegated(X.values([*X.RULE_TEXTS, *X.REPORTS], "doc_id, text"), TARGET_ROWS, acceptance.DELEGATED, acceptance.DELEGATED_TERMS))
+def ai_tell_delegated(spark, d):
+    return acceptance.delegated(X.frame(spark, [*X.RULE_TEXTS, *X.REPORTS], "doc_id string, text string"))
+
+
+@query(O.post_targets("(SELECT doc_id AS slug, text AS body FROM documents)", TARGET_ROWS))
+def post_target_documents(spark, d):
+    posts = documents(spark, d).select(F.col("doc_id").alias("slug"), F.col("text").alias("body"))
+    return targets.evaluate(targets.unpivot(targets.post_metrics(posts), "slug"), targets.published_targets(spark))
+
+
 @query(O.report_prose("documents", 3000))
 def report_check_prose_documents(spark, d):
     return report_check.check_reports(documents(spark, d), "prose", limit=3000)
@@ -435,7 +449,7 @@ def stable_flags(spark, d):
     return targets.stable_booleans(lab.select("doc_id", F.inline(pairs)))
 
 
-@query(O.post_targets(X.values(X.RULE_TEXTS, "slug, body"), X.values([(a, c, d_, e) for a, _, c, d_, e, _ in fixed.TARGETS], "metric, level, lo, hi")))
+@query(O.post_targets(X.values(X.RULE_TEXTS, "slug, body"), TARGET_ROWS))
 def post_target_check(spark, d):
     posts = X.frame(spark, X.RULE_TEXTS, "slug string, body string")
     return targets.evaluate(targets.unpivot(targets.post_metrics(posts), "slug"), targets.published_targets(spark))
@@ -463,8 +477,6 @@ def turn_profile(spark, d):
 
 @query()
 def check_all_findings(spark, d):
-    from ..operators import acceptance
-
     rows = X.frame(spark, X.REWRITES, "doc_id string, a string, b string")
     return acceptance.check_all(rows.select("doc_id", F.col("b").alias("text")), rows.select("doc_id", F.col("a").alias("text")))
 
