@@ -68,6 +68,7 @@ BANNED = (
 SENSORY = ("반짝", "부드러", "따뜻", "차가운", "향기", "눈부", "설레", "아름다", "빛나는", "싱그러", "포근", "은은", "찬란")
 INTENSIFIERS = ("정말", "매우", "아주", "꽤", "무척", "굉장히", "너무", "엄청", "상당히")
 COMMA_CONJUNCTIONS = ("다만", "더해서", "즉", "반면", "반면에")
+# A spelling that the author does not prefer, and the one preferred.
 SPELLING_PAIRS = (("콘텐츠", "컨텐츠"), ("타깃", "타겟"), ("세팅", "셋팅"), ("론칭", "런칭"), ("팬데믹", "팬더믹"), ("트랜드", "트렌드"), ("왠만", "웬만"))
 
 # Targets: metric, kind, level, least, most (or the boolean that must hold), source.

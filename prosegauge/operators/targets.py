@@ -116,7 +116,7 @@ def post_metrics(posts: DataFrame, id_col: str = "slug", text_col: str = "body")
         count(("여러분", "당신")).alias("yeoreobun_dangsin"),
         count(fixed.SENSORY).alias("sensory_total"),
         count(fixed.BANNED).alias("banned_total"),
-        count(tuple(b for _, b in fixed.SPELLING_PAIRS)).alias("nonpref_total"),
+        count(tuple(a for a, _ in fixed.SPELLING_PAIRS)).alias("nonpref_total"),
         T.share(F.col("sentence").rlike("아니라|보다는|말고")).alias("pct_contrast"),
     )
     per_para = rows.groupBy(id_col, "para_no").agg(F.count("*").alias("n")).groupBy(id_col).agg(

@@ -248,7 +248,7 @@ def post_targets(source: str, targets: str) -> str:
         "commas_per_sent": "CAST(sum(commas) AS DOUBLE) / count(*)", "pct_sent_no_comma": percent("commas = 0"),
         "pct_list_or_go_comma": "100.0 * sum(list_go) / nullif(sum(commas), 0)", "comma_after_subject": "sum(subject)",
         "ye_reul_deureo": uses(("예를 들어", "예를 들면")), "yeoreobun_dangsin": uses(("여러분", "당신")), "sensory_total": uses(fixed.SENSORY),
-        "banned_total": uses(fixed.BANNED), "nonpref_total": uses(b for _, b in fixed.SPELLING_PAIRS), "pct_contrast": percent("regexp_matches(sentence, '아니라|보다는|말고')"),
+        "banned_total": uses(fixed.BANNED), "nonpref_total": uses(a for a, _ in fixed.SPELLING_PAIRS), "pct_contrast": percent("regexp_matches(sentence, '아니라|보다는|말고')"),
     }
     others = ("sent_per_para_mean", "pct_para_1", "closing_is_call_or_outlook", "closing_is_summary", "ai_bullet_bold")
     names = [*sentence_metrics, *others]

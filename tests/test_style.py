@@ -230,3 +230,8 @@ def test_acceptance(spark):
     assert acceptance.render("{{n:a}} {{one_in:b}} {{ratio:a/b}} {{t}}", {"a": 10, "b": 4}, {"t": "글"}) == "10 25 2.5 글"
     with pytest.raises(KeyError):
         acceptance.render("{{n:zz}}", {})
+
+
+def test_spellings_that_are_not_preferred_count(spark):
+    post = spark.createDataFrame([("p", "타깃을 정하고 론칭 계획을 세웁니다. 타겟과 런칭은 세지 않습니다.")], "slug string, body string")
+    assert targets.post_metrics(post).first().nonpref_total == 2
