@@ -106,3 +106,25 @@ TARGETS = (
 EN_WORD = r"[A-Za-z][A-Za-z'’\-]*"
 PASSIVE = r"(?iU)\b(?:am|is|are|was|were|be|being|been)\s+(?:\w+ed|\w+en)\b"
 NOT_EMOJI = "→✓✗⚠□○▪·※①"
+
+# Blog profile, further lists: endings from longest to shortest, terms to watch, an author's and the standard spelling.
+ENDING_TAILS = (
+    "것입니다", "것 같습니다", "생각합니다", "있습니다", "없습니다", "었습니다", "았습니다", "겠습니다", "습니다", "합니다", "입니다", "됩니다",
+    "겁니다", "니다", "는데요", "세요", "고요", "까요", "네요", "요", "죠", "까",
+)
+WATCHLIST = (
+    "경험", "수익", "실행", "검증", "전문성", "포지셔닝", "피드백", "가설", "시행착오", "고객", "커뮤니티", "니치", "오디언스", "빌딩", "메이커",
+    "일잘러", "부캐", "찐팬", "레버리지", "노코드", "자동화", "생각합니다", "것 같습니다", "같은", "처럼", "식으로", "정도", "다양한", "빠르게", "쉽게",
+    "저렴", "일단", "당장", "뚝딱", "짜치", "현타", "떡상", "헤헷", "쿨럭",
+)
+SPELLING_VARIANTS = (
+    ("컨텐츠", "콘텐츠"), ("타겟", "타깃"), ("셋팅", "세팅"), ("런칭", "론칭"), ("팬더믹", "팬데믹"), ("트랜드", "트렌드"), ("왠만", "웬만"), ("어플", "앱"),
+    ("메세지", "메시지"), ("레포트", "리포트"), ("비지니스", "비즈니스"), ("컨셉", "콘셉트"), ("프리젠테이션", "프레젠테이션"), ("디렉토리", "디렉터리"),
+    ("데이타", "데이터"), ("스케쥴", "스케줄"), ("썸네일", "섬네일"), ("알고리듬", "알고리즘"), ("네비게이션", "내비게이션"), ("악세사리", "액세서리"),
+    ("캐쥬얼", "캐주얼"), ("매니져", "매니저"), ("리더쉽", "리더십"), ("컨텐트", "콘텐트"), ("샵", "숍"),
+)
+EMOTICON = r"\^\^|[ㅎㅋㅠㅜ]{2,}|:\)|:D"
+GLOSS = r"[가-힣] ?\([A-Za-z][^()]*\)"
+HUMBLE_START = r"^(?:저는|저도|저의|저를|저희|제가|제 )"
+HUMBLE = r"(?:^| )(?:저는|저도|저의|저를|저희|제가|제 )"
+PLAIN_SELF = r"(?:^| )(?:나는|나도|나의|나를|내가|내 )"

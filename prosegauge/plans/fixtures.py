@@ -64,3 +64,15 @@ def values(rows: list[tuple], names: str) -> str:
         return f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else repr(v)
 
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+#: Posts (corpus, text) for the profile of a corpus.
+POSTS = [
+    ("posts", "# 컨텐츠를 만드는 방법\n<!-- 2024-01-01 -->\n> 요약\n\n안녕하세요. 저는 노코드 메이커입니다. 제가 내 경험을 통해 배운 것을 씁니다!\n\n## 1. 왜 쓰나요?\n\n"
+              "글을 쓰면, 생각이 정리되고, 고객(Customer)도 생깁니다. 하지만, 처음은 어렵다고 생각합니다. 정말 매우 쉽게 시작할 수 있을 것 같습니다. ㅎㅎ\n\n"
+              "## 시작하자\n\n타겟과 타깃을 나누고, 컨텐츠/런칭 순서를 정합니다. 저도 내 일을 통해, 통해 배웠네요. 결국 다시 쓰게 될 것입니다.\n"),
+    ("posts", "어떻게 시작할까요? 게다가 반짝이는 글은 드뭅니다. 나는 그렇게 본다.\n\n### 글은 길이다\n\n이 도구는, 쉽다. 요약하면 (도구)는 도구입니다 ^^ 빠르게, 값싸게, 쉽게 합니다.\n"),
+    ("posts", "노코드란 코드 없이 만드는 것을 의미합니다. 트렌드, 트랜드 모두 씁니다.\n\n썸네일은 알고리즘보다 낫죠. 함께 해 보세요.\n"),
+    ("posts", ""),
+    ("posts", None),
+]

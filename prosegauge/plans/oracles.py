@@ -299,3 +299,86 @@ def delegated(source: str, targets: str, metrics: dict[str, tuple[str, ...]], te
         f" UNION ALL SELECT doc_id, '{rule}', value FROM ({words_sql}))"
         " SELECT doc_id, rule_id, 'S2' AS severity, CAST(sum(value) AS BIGINT) AS n FROM x WHERE rule_id IS NOT NULL GROUP BY doc_id, rule_id"
     )
+
+
+def _profile(source: str) -> str:
+    """source: (corpus, text). CTEs so (texts), pa (paragraphs) and sn (sentences s, their end e)."""
+    return rf"""WITH so AS (SELECT corpus, text, row_number() OVER () AS id FROM {source}),
+pa AS (SELECT corpus, id, unnest(p) AS paragraph, unnest(range(1, len(p) + 1)) AS para_no FROM (
+  SELECT corpus, id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM so)),
+sn AS (SELECT corpus, s, regexp_replace(s, '[\s.!?…”"'')\]]+$', '') AS e FROM (SELECT corpus, unnest({KO_SENTENCES.format(t='paragraph')}) AS s FROM pa))"""
+
+
+REGISTER = """CASE WHEN regexp_matches(e, '(?:니다|니까|시오)$') THEN '합쇼체' WHEN ends_with(e, '죠') THEN '-죠' WHEN ends_with(e, '요') THEN '해요체'
+ WHEN ends_with(e, '다') THEN '해라체' ELSE '기타' END"""
+
+
+def _shares(name: str, rows: str) -> str:
+    return f"SELECT corpus, {name}, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY corpus) AS pct FROM ({rows}) GROUP BY corpus, {name}"
+
+
+def sentence_profile(source: str) -> str:
+    share = lambda x: f"100.0 * avg(CAST({x} AS INT))"
+    count = lambda p: f"CAST(sum(len(regexp_extract_all(s, {text(p)}))) AS BIGINT)"
+    has = lambda p: f"regexp_matches(s, {text(p)})"
+    columns = {
+        "n_sentences": "count(*)", "pct_think": share("ends_with(e, '생각합니다')"), "pct_seem": share("ends_with(e, '것 같습니다')"), "pct_will": share("ends_with(e, '것입니다')"),
+        "pct_humble_start": share(has(fixed.HUMBLE_START)), "pct_plain_self": share(has(fixed.PLAIN_SELF)), "n_mixed_self": f"count(*) FILTER ({has(fixed.HUMBLE)} AND {has(fixed.PLAIN_SELF)})",
+        "n_parentheses": count("[(（]"), "n_slashes": count("/"), "n_glosses": count(fixed.GLOSS), "n_exclamations": count("!"), "n_emoticons": count(fixed.EMOTICON),
+        "n_through": count("통해"), "pct_through": share("contains(s, '통해')"),
+    }
+    return _profile(source) + " SELECT corpus, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM sn GROUP BY corpus"
+
+
+def paragraph_profile(source: str) -> str:
+    return _profile(source) + " SELECT corpus, count(*) AS n_paragraphs, 100.0 * avg(CAST(regexp_matches(paragraph, '[(（]') AS INT)) AS pct_parentheses FROM pa GROUP BY corpus"
+
+
+def ending_tails(source: str) -> str:
+    tails = " ".join(f"WHEN ends_with(e, {text(t)}) THEN {text(t)}" for t in sorted(fixed.ENDING_TAILS, key=lambda t: (-len(t), t)))
+    return _profile(source) + " " + _shares("tail_class", f"SELECT corpus, {REGISTER} || ':' || CASE {tails} ELSE '' END AS tail_class FROM sn")
+
+
+def comma_positions(source: str) -> str:
+    conjunctions = ", ".join(text(c) for c in (*fixed.CONNECTIVES, "그리고", "하지만", "그래서"))
+    tails = " ".join(f"WHEN ends_with(w, '{t}') THEN '-{t}'" for t in ("고", "나", "지만", "며", "면", "서", "데", "도", "니"))
+    position = f"""CASE WHEN w IN ({conjunctions}) THEN '접속부사 뒤' {tails} WHEN regexp_matches(w, '[은는이가]$') THEN '주어 뒤'
+ WHEN regexp_matches(w, '[가-힣A-Za-z0-9]$') THEN '나열' ELSE '기타' END"""
+    return _profile(source) + " " + _shares("position", rf"SELECT corpus, {position} AS position FROM (SELECT corpus, unnest(regexp_extract_all(s, '([^\s,]+),', 1)) AS w FROM sn)")
+
+
+def _used(term: str) -> str:
+    return f"coalesce(CAST(sum((length(text) - length(replace(text, {term}, ''))) // length({term})) AS BIGINT), 0)"
+
+
+def word_lists(source: str, lists: dict[str, tuple[str, ...]]) -> str:
+    rows = ", ".join(f"({text(kind)}, {text(term)})" for kind, terms in lists.items() for term in terms)
+    return f"SELECT corpus, kind, term, {_used('term')} AS n FROM {source}, (VALUES {rows}) AS l(kind, term) GROUP BY corpus, kind, term"
+
+
+def spelling_preferences(source: str) -> str:
+    rows = ", ".join(f"({text(a)}, {text(s)})" for a, s in fixed.SPELLING_VARIANTS)
+    return f"""SELECT *, CASE WHEN n_author + n_standard < 2 OR n_author = n_standard THEN '혼용' WHEN n_author > n_standard THEN author ELSE standard END AS preferred FROM (
+ SELECT corpus, author, standard, {_used('author')} AS n_author, {_used('standard')} AS n_standard FROM {source}, (VALUES {rows}) AS l(author, standard) GROUP BY corpus, author, standard)
+WHERE n_author + n_standard > 0"""
+
+
+def openings_and_closings(source: str) -> str:
+    return rf"""WITH b AS (SELECT corpus, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '(?m)^(?:#|>|<!--).*$', '', 'g'), '\n[ \t\r]*\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {source}),
+e AS (SELECT corpus, p[1] AS f, p[-1] AS l FROM b WHERE len(p) > 0),
+k AS (SELECT corpus, 'opening' AS part, CASE WHEN regexp_matches(f, '안녕하세요|저는|제가') THEN '이력/인사' WHEN contains(f, '?') THEN '질문'
+   WHEN regexp_matches(f, '이란|란|의미합니다|뜻합니다') THEN '정의' ELSE '배경/기타' END AS kind FROM e
+ UNION ALL SELECT corpus, 'closing', 'call_or_outlook' FROM e WHERE regexp_matches(l, '보세요|봅시다|바랍니다|좋겠습니다|것입니다|감사합니다|겠습니다|기대합니다')
+ UNION ALL SELECT corpus, 'closing', 'summary' FROM e WHERE regexp_matches(l, '요약하면|정리하면|결론적으로|요약하자면|정리하자면'))
+SELECT corpus, part, kind, count(*) AS n FROM k GROUP BY ALL"""
+
+
+def heading_kinds(source: str) -> str:
+    flags = {
+        "noun_phrase": "NOT regexp_matches(h, '[다요까]$|[.?!]$')", "declarative": r"regexp_matches(h, '다\.?$')", "imperative": r"regexp_matches(h, '(?:라|세요|시오|자)\.?$')",
+        "question": r"regexp_matches(h, '\?$|까$')", "numbered": r"regexp_matches(h, '^[0-9]+[.)]\s')",
+    }
+    heads = rf"WITH h AS (SELECT corpus, trim(unnest(regexp_extract_all(text, '(?m)^#{{1,6}}[ \t]+([^\n]*)$', 1))) AS h FROM {source})"
+    return heads + " UNION ALL ".join(
+        f" SELECT corpus, '{k}' AS kind, count(*) FILTER ({c}) AS n, 100.0 * count(*) FILTER ({c}) / count(*) AS pct FROM h GROUP BY corpus" for k, c in flags.items()
+    )

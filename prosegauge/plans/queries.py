@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import endings, fixed
 from ..functions import textprims as T
-from ..operators import acceptance, corpus, fidelity, items, lines, report_check, rules, segments, stats, targets
+from ..operators import acceptance, corpus, fidelity, items, lines, profile, report_check, rules, segments, stats, targets
 from ..sources import readers
 from ..streaming import taste
 from . import fixtures as X
@@ -485,3 +485,55 @@ def check_all_findings(spark, d):
        "FROM (SELECT doc_id, regexp_replace(regexp_replace(unnest(string_split(text, chr(10))), '^#+\\s*', ''), '\\*\\*|__|`', '', 'g') AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id)")
 def bullet_share(spark, d):
     return corpus.genre_hint(documents(spark, d)).select("doc_id", F.round("bullet_share", 9).alias("bullet_share"))
+
+
+# The profile of a corpus: inline posts, and all documents.
+CORPORA = "(SELECT corpus, text FROM " + X.values(X.POSTS, "corpus, text") + " UNION ALL SELECT 'documents', text FROM documents)"
+
+
+def corpora(spark: SparkSession, d: str) -> DataFrame:
+    return X.frame(spark, X.POSTS, "corpus string, text string").unionByName(documents(spark, d).select(F.lit("documents").alias("corpus"), "text"))
+
+
+def korean_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return stats.sentence_rows(corpora(spark, d), ["corpus"], language="ko")
+
+
+@query(O.sentence_profile(CORPORA))
+def blog_sentences(spark, d):
+    return profile.sentence_profile(korean_sentences(spark, d), ["corpus"])
+
+
+@query(O.paragraph_profile(CORPORA))
+def blog_paragraphs(spark, d):
+    return profile.paragraph_profile(corpora(spark, d), ["corpus"])
+
+
+@query(O.ending_tails(CORPORA))
+def blog_ending_tails(spark, d):
+    return profile.ending_tails(korean_sentences(spark, d), ["corpus"])
+
+
+@query(O.comma_positions(CORPORA))
+def blog_comma_positions(spark, d):
+    return profile.comma_positions(korean_sentences(spark, d), ["corpus"])
+
+
+@query(O.word_lists(CORPORA, profile.LISTS))
+def blog_word_lists(spark, d):
+    return profile.word_lists(corpora(spark, d), ["corpus"])
+
+
+@query(O.spelling_preferences(CORPORA))
+def blog_spellings(spark, d):
+    return profile.spelling_preferences(corpora(spark, d), ["corpus"])
+
+
+@query(O.openings_and_closings(CORPORA))
+def blog_openings_and_closings(spark, d):
+    return profile.openings_and_closings(corpora(spark, d), ["corpus"])
+
+
+@query(O.heading_kinds(CORPORA))
+def blog_heading_kinds(spark, d):
+    return profile.heading_kinds(corpora(spark, d), ["corpus"])

@@ -235,3 +235,16 @@ def test_acceptance(spark):
 def test_spellings_that_are_not_preferred_count(spark):
     post = spark.createDataFrame([("p", "타깃을 정하고 론칭 계획을 세웁니다. 타겟과 런칭은 세지 않습니다.")], "slug string, body string")
     assert targets.post_metrics(post).first().nonpref_total == 2
+
+
+def test_profile_of_posts(spark):
+    from prosegauge.operators import profile
+
+    posts = X.frame(spark, X.POSTS, "corpus string, text string")
+    got = profile.sentence_profile(stats.sentence_rows(posts, ["corpus"], language="ko"), ["corpus"]).first()
+    assert (got.n_through, got.n_slashes, got.n_glosses, got.n_emoticons, got.n_mixed_self) == (3, 1, 1, 2, 2)
+    spelled = {r.author: (r.n_author, r.n_standard, r.preferred) for r in profile.spelling_preferences(posts, ["corpus"]).collect()}
+    assert spelled["컨텐츠"] == (2, 0, "컨텐츠") and spelled["타겟"] == (1, 1, "혼용") and spelled["썸네일"] == (1, 0, "혼용")
+    assert {(r.part, r.kind): r.n for r in profile.openings_and_closings(posts, ["corpus"]).collect()}["closing", "summary"] == 1
+    assert profile.word_lists(posts.where("text = ''"), ["corpus"]).agg(F.sum("n").alias("n")).first().n == 0
+    assert profile.heading_kinds(posts.where("text is null"), ["corpus"]).count() == 0
