@@ -79,18 +79,19 @@ def comma_class(before: Column | str) -> Column:
     out = F.when(w.isin(*fixed.CONNECTIVES, "그리고", "하지만", "그래서"), "접속부사 뒤")
     for tail in ("고", "나", "지만", "며", "면", "서", "데", "도", "니"):
         out = out.when(w.endswith(tail), f"-{tail}")
-    return out.when(w.rlike("[은는이가]$"), "주어 뒤").when(w.rlike(r"[가-힣A-Za-z0-9]$"), "나열").otherwise("기타")
+    return out.when(w.rlike("[은는이가]$"), "주어 뒤").when(w.rlike(fixed.LISTED), "나열").otherwise("기타")
 
 
 def heading_flags(c: Column | str) -> Column:
-    """Overlapping kinds of a heading."""
+    """Kinds of a heading: how it ends (a noun phrase where no other ending fits), and whether a number leads."""
     h = F.trim(col(c))
+    declarative, imperative, question = h.rlike(r"다\.?$"), h.rlike(r"(?:라|세요|시오|자)\.?$"), h.rlike(r"\?$|까$")
     return F.struct(
-        (~h.rlike(r"[다요까]$|[.?!]$")).alias("noun_phrase"),
-        h.rlike(r"다\.?$").alias("declarative"),
-        h.rlike(r"(?:라|세요|시오|자)\.?$").alias("imperative"),
-        h.rlike(r"\?$|까$").alias("question"),
-        h.rlike(r"(?U)^\d+[.)]\s").alias("numbered"),
+        (~(declarative | imperative | question)).alias("noun_phrase"),
+        declarative.alias("declarative"),
+        imperative.alias("imperative"),
+        question.alias("question"),
+        h.rlike(r"(?U)^\(?\d").alias("numbered"),
     )
 
 

@@ -109,7 +109,7 @@ NOT_EMOJI = "→✓✗⚠□○▪·※①"
 
 # Blog profile, further lists: endings from longest to shortest, terms to watch, an author's and the standard spelling.
 ENDING_TAILS = (
-    "것입니다", "것 같습니다", "생각합니다", "있습니다", "없습니다", "었습니다", "았습니다", "겠습니다", "습니다", "합니다", "입니다", "됩니다",
+    "것입니다", "있습니다", "없습니다", "었습니다", "았습니다", "겠습니다", "습니다", "합니다", "입니다", "됩니다",
     "겁니다", "니다", "는데요", "세요", "고요", "까요", "네요", "요", "죠", "까",
 )
 WATCHLIST = (
@@ -123,6 +123,7 @@ SPELLING_VARIANTS = (
     ("데이타", "데이터"), ("스케쥴", "스케줄"), ("썸네일", "섬네일"), ("알고리듬", "알고리즘"), ("네비게이션", "내비게이션"), ("악세사리", "액세서리"),
     ("캐쥬얼", "캐주얼"), ("매니져", "매니저"), ("리더쉽", "리더십"), ("컨텐트", "콘텐트"), ("샵", "숍"),
 )
+LISTED = r"[가-힣A-Za-z0-9)\]”’\"']$"
 EMOTICON = r"\^\^|[ㅎㅋㅠㅜ]{2,}|:\)|:D"
 GLOSS = r"[가-힣] ?\([A-Za-z][^()]*\)"
 HUMBLE_START = r"^(?:저는|저도|저의|저를|저희|제가|제 )"

@@ -343,7 +343,7 @@ def comma_positions(source: str) -> str:
     conjunctions = ", ".join(text(c) for c in (*fixed.CONNECTIVES, "그리고", "하지만", "그래서"))
     tails = " ".join(f"WHEN ends_with(w, '{t}') THEN '-{t}'" for t in ("고", "나", "지만", "며", "면", "서", "데", "도", "니"))
     position = f"""CASE WHEN w IN ({conjunctions}) THEN '접속부사 뒤' {tails} WHEN regexp_matches(w, '[은는이가]$') THEN '주어 뒤'
- WHEN regexp_matches(w, '[가-힣A-Za-z0-9]$') THEN '나열' ELSE '기타' END"""
+ WHEN regexp_matches(w, {text(fixed.LISTED)}) THEN '나열' ELSE '기타' END"""
     return _profile(source) + " " + _shares("position", rf"SELECT corpus, {position} AS position FROM (SELECT corpus, unnest(regexp_extract_all(s, '([^\s,]+),', 1)) AS w FROM sn)")
 
 
@@ -374,10 +374,8 @@ SELECT corpus, part, kind, count(*) AS n FROM k GROUP BY ALL"""
 
 
 def heading_kinds(source: str) -> str:
-    flags = {
-        "noun_phrase": "NOT regexp_matches(h, '[다요까]$|[.?!]$')", "declarative": r"regexp_matches(h, '다\.?$')", "imperative": r"regexp_matches(h, '(?:라|세요|시오|자)\.?$')",
-        "question": r"regexp_matches(h, '\?$|까$')", "numbered": r"regexp_matches(h, '^[0-9]+[.)]\s')",
-    }
+    ends = {"declarative": r"regexp_matches(h, '다\.?$')", "imperative": r"regexp_matches(h, '(?:라|세요|시오|자)\.?$')", "question": r"regexp_matches(h, '\?$|까$')"}
+    flags = {"noun_phrase": f"NOT ({' OR '.join(ends.values())})", **ends, "numbered": r"regexp_matches(h, '^\(?[0-9]')"}
     heads = rf"WITH h AS (SELECT corpus, trim(unnest(regexp_extract_all(text, '(?m)^#{{1,6}}[ \t]+([^\n]*)$', 1))) AS h FROM {source})"
     return heads + " UNION ALL ".join(
         f" SELECT corpus, '{k}' AS kind, count(*) FILTER ({c}) AS n, 100.0 * count(*) FILTER ({c}) / count(*) AS pct FROM h GROUP BY corpus" for k, c in flags.items()
