@@ -11,6 +11,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,22 @@ class WordMemo(dict):
         return value
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """make(key), its last value kept by a worker from task to task until forget_kept()."""
+    kept = lru_cache(maxsize=1)(make)
+    _kept.append(kept.cache_clear)
+    return kept
+
+
+def forget_kept() -> None:
+    """Free what earlier tasks of this worker kept; tasks of other operators call it when they start."""
+    for clear in _kept:
+        clear()
+
+
 def _column(column: pa.Array) -> np.ndarray:
     """Values as numpy has them; as objects where some are null, so that integers stay exact."""
     if column.null_count:

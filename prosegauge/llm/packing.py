@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_LENGTH, sorted_groups, stored
+from .common import MEMO_LENGTH, forget_kept, kept_by_worker, sorted_groups, stored
 
 END_ID = 2
 #: Letters and marks for which a word's ids are those of the lower-cased letters, then of the marks:
@@ -134,7 +134,7 @@ class WordIds:
             at = end
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker
 def _word_ids(path: str) -> WordIds:
     """Kept by a worker from task to task."""
     return WordIds(path)
@@ -263,6 +263,7 @@ def pack(
     names = ["doc", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for (shard,), rows in sorted_groups(batches, ["shard"]):
             window, offset, fills = sum_of_squares(rows["length"], length)
             padded = np.where((fills & (fills - 1)) == 0, fills, length)

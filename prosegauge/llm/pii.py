@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget_kept, stored
 
 #: Kinds in the order of the results; the first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -381,6 +381,7 @@ def fit_from_table(counted: DataFrame) -> PiiModel:
     def slopes_at(trust: dict, index: dict) -> Slopes:
         def sums(weights: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                forget_kept()
                 for batch in batches:
                     rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "pattern", "n")), strict=True))
                     for kind, (gradient, hessian) in slopes(rows, trust, index, weights).items():
@@ -411,6 +412,7 @@ def fit_pii(docs: DataFrame, text_col: str = "text") -> PiiModel:
     texts = docs.select(F.col(text_col).alias("txt")).where("txt is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column("txt"):
@@ -439,6 +441,7 @@ def find_pii(docs: DataFrame, model: PiiModel, id_col: str = "doc_id", text_col:
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             base, every = [], []
             for text in batch.column("txt"):
@@ -459,6 +462,7 @@ def mask_pii(docs: DataFrame, model: PiiModel, text_col: str = "text") -> DataFr
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             texts = [mask(t.as_py(), model) for t in batch.column(text_col)]
             i = batch.schema.get_field_index(text_col)

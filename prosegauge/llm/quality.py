@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, as_bytes
+from .common import WordMemo, as_bytes, forget_kept
 from .training import LEAST_OF_CLASS, fold, labelled_sample, platt, sigmoid
 
 BITS = 17
@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         memo = WordMemo(shape)
         for batch in batches:
             got = shared.value.scores(batch.column("txt").to_pylist(), memo)

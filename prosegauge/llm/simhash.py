@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored, whole_groups
+from .common import as_bytes, forget_kept, stored, whole_groups
 from .graph import SMALL_ROWS, connected_components, spread_join
 
 SEED = 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp", w
     schema = docs.select(*(f"`{c}`" for c in rest)).withColumn(out_col, F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             got = [fingerprint(t, words_per_shingle) for t in batch.column("_pg_text").to_pylist()]
             fps = pa.array(np.array(got, dtype=np.uint64).view(np.int64))
@@ -156,6 +157,7 @@ def _compared(prints: DataFrame, max_bits: int, cell_rows: int) -> DataFrame:
         return spark.createDataFrame([], shape)
 
     def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         met = verified = 0
         for rows in whole_groups(batches, ["cell", "pair"]):
             same = (rows["cell"][1:] == rows["cell"][:-1]) & (rows["pair"][1:] == rows["pair"][:-1])

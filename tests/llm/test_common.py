@@ -68,3 +68,12 @@ def test_whole_groups(least):
     assert np.concatenate([g["n"] for g in got]).tolist() == list(range(60))
     seen = [set(g["k"].tolist()) for g in got]
     assert sum(map(len, seen)) == len(set().union(*seen))
+
+
+def test_what_a_worker_keeps_is_freed_by_other_operators():
+    made = []
+    keep = common.kept_by_worker(lambda key: made.append(key) or object())
+    first = keep("a")
+    assert keep("a") is first and made == ["a"]
+    common.forget_kept()
+    assert keep("a") is not first and made == ["a", "a"]
