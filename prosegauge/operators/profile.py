@@ -46,16 +46,18 @@ def sentence_profile(sents: DataFrame, by: list[str]) -> DataFrame:
         count("/").alias("n_slashes"),
         count(fixed.GLOSS).alias("n_glosses"),
         count("!").alias("n_exclamations"),
-        count(fixed.EMOTICON).alias("n_emoticons"),
         count("통해").alias("n_through"),
         T.share(s.contains("통해")).alias("pct_through"),
     )
 
 
 def paragraph_profile(docs: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
-    """Paragraphs, and the percent of them that have parentheses, by group."""
+    """Paragraphs, the percent of them that have parentheses, and their emoticons, by group.
+
+    Emoticons follow the end of a sentence and are too short for one, so they are counted here.
+    """
     paras = L.paragraphs(docs.select(*by, text_col), text_col)
-    return paras.groupBy(*by).agg(F.count("*").alias("n_paragraphs"), T.share(F.col("paragraph").rlike(r"[(（]")).alias("pct_parentheses"))
+    return paras.groupBy(*by).agg(F.count("*").alias("n_paragraphs"), T.share(F.col("paragraph").rlike(r"[(（]")).alias("pct_parentheses"), F.sum(F.regexp_count("paragraph", F.lit(fixed.EMOTICON))).alias("n_emoticons"))
 
 
 def ending_tails(sents: DataFrame, by: list[str]) -> DataFrame:

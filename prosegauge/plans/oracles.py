@@ -324,14 +324,14 @@ def sentence_profile(source: str) -> str:
     columns = {
         "n_sentences": "count(*)", "pct_think": share("ends_with(e, '생각합니다')"), "pct_seem": share("ends_with(e, '것 같습니다')"), "pct_will": share("ends_with(e, '것입니다')"),
         "pct_humble_start": share(has(fixed.HUMBLE_START)), "pct_plain_self": share(has(fixed.PLAIN_SELF)), "n_mixed_self": f"count(*) FILTER ({has(fixed.HUMBLE)} AND {has(fixed.PLAIN_SELF)})",
-        "n_parentheses": count("[(（]"), "n_slashes": count("/"), "n_glosses": count(fixed.GLOSS), "n_exclamations": count("!"), "n_emoticons": count(fixed.EMOTICON),
+        "n_parentheses": count("[(（]"), "n_slashes": count("/"), "n_glosses": count(fixed.GLOSS), "n_exclamations": count("!"),
         "n_through": count("통해"), "pct_through": share("contains(s, '통해')"),
     }
     return _profile(source) + " SELECT corpus, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM sn GROUP BY corpus"
 
 
 def paragraph_profile(source: str) -> str:
-    return _profile(source) + " SELECT corpus, count(*) AS n_paragraphs, 100.0 * avg(CAST(regexp_matches(paragraph, '[(（]') AS INT)) AS pct_parentheses FROM pa GROUP BY corpus"
+    return _profile(source) + " SELECT corpus, count(*) AS n_paragraphs, 100.0 * avg(CAST(regexp_matches(paragraph, '[(（]') AS INT)) AS pct_parentheses, " + f"CAST(sum(len(regexp_extract_all(paragraph, {text(fixed.EMOTICON)}))) AS BIGINT) AS n_emoticons FROM pa GROUP BY corpus"
 
 
 def ending_tails(source: str) -> str:

@@ -242,7 +242,8 @@ def test_profile_of_posts(spark):
 
     posts = X.frame(spark, X.POSTS, "corpus string, text string")
     got = profile.sentence_profile(stats.sentence_rows(posts, ["corpus"], language="ko"), ["corpus"]).first()
-    assert (got.n_through, got.n_slashes, got.n_glosses, got.n_emoticons, got.n_mixed_self) == (3, 1, 1, 2, 2)
+    assert (got.n_through, got.n_slashes, got.n_glosses, got.n_mixed_self) == (3, 1, 1, 2)
+    assert profile.paragraph_profile(posts, ["corpus"]).first().n_emoticons == 2
     spelled = {r.author: (r.n_author, r.n_standard, r.preferred) for r in profile.spelling_preferences(posts, ["corpus"]).collect()}
     assert spelled["컨텐츠"] == (2, 0, "컨텐츠") and spelled["타겟"] == (1, 1, "혼용") and spelled["썸네일"] == (1, 0, "혼용")
     assert {(r.part, r.kind): r.n for r in profile.openings_and_closings(posts, ["corpus"]).collect()}["closing", "summary"] == 1
