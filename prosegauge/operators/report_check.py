@@ -35,9 +35,10 @@ def raw_lines(docs: DataFrame) -> DataFrame:
 def head_checks(docs: DataFrame) -> DataFrame:
     """Title (H1) and opening lines (H2); documents without a line that is not blank are left out."""
     full = docs.select("doc_id", F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 4).alias("first")).where(F.size("first") > 0)
+    # get(), since a filter on the title may evaluate it ahead of the filter on size.
     head = full.select(
         "doc_id",
-        F.trim(T.strip_md(F.col("first")[0])).alias("title"),
+        F.trim(T.strip_md(F.get("first", F.lit(0)))).alias("title"),
         F.array_join(F.transform(F.slice("first", 2, 3), T.strip_md), " ").alias("opening"),
         F.size("first").alias("lines"),
     )

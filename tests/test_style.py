@@ -115,6 +115,20 @@ def test_report_checker(spark):
     assert passed["r2"] and not passed["r1"]
 
 
+BLANK_TEXTS = ["", " ", "\n\n", " \n  \n", "\t", "# ", "추진 현황", "사업 검토 결과\n- 예산 3% 확대\n- 집행을 개선한다\n", "Plain title\n\nIt ran well. It ended."]
+
+
+@pytest.mark.parametrize("name", ["report_check_documents"])
+def test_report_checks_of_blank_documents(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(BLANK_TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, db.execute(f"SELECT {', '.join(found.columns)} FROM ({ORACLE[name]})").fetchall()))
+
+
 def test_numbered_levels_use_open_indents(spark):
     text = "1. a\n   1) b\n   2) c\n      (1) d\n2. e"
     rows = report_check.raw_lines(spark.createDataFrame([("x", text)], "doc_id string, text string"))
