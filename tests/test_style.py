@@ -118,7 +118,7 @@ def test_report_checker(spark):
 BLANK_TEXTS = ["", " ", "\n\n", " \n  \n", "\t", "# ", "추진 현황", "사업 검토 결과\n- 예산 3% 확대\n- 집행을 개선한다\n", "Plain title\n\nIt ran well. It ended."]
 
 
-@pytest.mark.parametrize("name", ["report_check_documents"])
+@pytest.mark.parametrize("name", ["report_check_documents", "report_check_prose_documents"])
 def test_report_checks_of_blank_documents(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     path = str(tmp_path / "documents.parquet")
