@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import needles as N
 from ..functions import textprims as T
 from ..functions.rule_table import TABLE
 from ..sources.markdown_table import table_cells
@@ -88,15 +89,24 @@ def _hits(rule: Rule) -> str:
         count = f"aggregate({kept}, 0, (a, s) -> a + regexp_count(s, {pattern}))"
     if rule.skips_last:
         count = f"CASE WHEN is_last THEN 0 ELSE {count} END"
-    return f"CASE WHEN kind IN ({', '.join(map(T.quoted, rule.scope))}) THEN {count} ELSE 0 END"
+    least = N.needles(rule.pattern)
+    met = f" AND {N.guard('text', least)}" if least else ""
+    return f"CASE WHEN kind IN ({', '.join(map(T.quoted, rule.scope))}){met} THEN {count} ELSE 0 END"
 
 
 def rule_hits(segments: DataFrame, rules: list[Rule], genre: str | None = None) -> DataFrame:
-    """(doc_id, seg_no, rule_id, n) for regex, literal and density rules; genre None takes all."""
+    """(doc_id, seg_no, rule_id, n) for regex, literal and density rules; genre None takes all.
+
+    A pattern runs only over segments that contain a string which its matches must contain, and
+    segments without a character of any such string meet no rule.
+    """
     run = [r for r in rules if r.detector in ("regex", "literal", "density") and (genre is None or r.genre in (COMMON, genre))]
     if not run:
         return segments.select("doc_id", "seg_no", "text", F.lit("").alias("rule_id"), F.lit(0).alias("n")).limit(0)
     cells = ", ".join(f"struct({T.quoted(r.id)} AS rule_id, {_hits(r)} AS n)" for r in run)
+    least = [N.needles(r.pattern) for r in run]
+    if all(least):
+        segments = segments.where(F.col("text").rlike(N.screen([x for found in least for x in found])))
     return segments.select("doc_id", "seg_no", "text", F.expr(f"explode(array({cells})) AS h")).select("doc_id", "seg_no", "text", "h.rule_id", "h.n").where("n > 0")
 
 

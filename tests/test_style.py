@@ -1,11 +1,12 @@
 """Operators against small expected results and row-at-a-time versions."""
 
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from prosegauge.functions import endings, fixed
+from prosegauge.functions import endings, fixed, needles
 from prosegauge.functions import textprims as T
 from prosegauge.operators import corpus, fidelity, items, lines, report_check, rules, segments, stats, targets
 from prosegauge.plans import fixtures as X
@@ -263,3 +264,35 @@ def test_profile_of_posts(spark):
     assert {(r.part, r.kind): r.n for r in profile.openings_and_closings(posts, ["corpus"]).collect()}["closing", "summary"] == 1
     assert profile.word_lists(posts.where("text = ''"), ["corpus"]).agg(F.sum("n").alias("n")).first().n == 0
     assert profile.heading_kinds(posts.where("text is null"), ["corpus"]).count() == 0
+
+
+@pytest.mark.parametrize("pattern,want", [
+    ("ab(?:cd|e)", ["ab"]), ("(?:ab|b)c?", ["b"]), ("a*b{1,2}", ["b"]), ("[xy]\\s*가나", ["가나"]), ("a*", None), ("(?:ab|c*)", None), ("[^a]", None),
+    ("(?=abc)[0-9]x", ["x"]), ("(?i)ab", None), ("(?i:ab)c", ["c"]), ("[a-z&&[^c]]d", None), (r"\Qab\E", None),
+])
+def test_needles(pattern, want):
+    assert needles.needles(pattern) == want
+
+
+def test_rules_run_only_where_their_strings_are(spark):
+    """Where a rule matches, its needles and the screen do too; over texts of the rules' own words."""
+    import random
+
+    rng = random.Random(6)
+    run = [r for r in rules.load_rules() if r.detector in ("regex", "literal", "density")]
+    texts = {t for _, t in [*X.RULE_TEXTS, *X.word_texts(run)]}
+    for r in run:
+        words = re.findall(r"[가-힣—–:*()\d]+|<!-- [a-z-]+", r.pattern.replace("\\s?", " ")) or ["x"]
+        texts |= {rng.choice(["", " "]).join(rng.choice(words) for _ in range(9)) for _ in range(20)}
+    found = {r.id: needles.needles(r.pattern) for r in run}
+    assert all(found.values())
+    screen = T.quoted(needles.screen([x for s in found.values() for x in s]))
+    cells = [
+        f"struct('{r.id}' AS id, regexp_count(t, {T.quoted(rules._java(r.pattern))}) > 0 AS hit, {needles.guard('t', found[r.id])} AND regexp_like(t, {screen}) AS met)" for r in run
+    ]
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").select("t", F.expr(f"inline(array({', '.join(cells)}))")).where("hit").collect()
+    assert len({r.id for r in rows}) > 25 and not [(r.id, r.t) for r in rows if not r.met]
+    # Over a text without any of them no pattern runs: one that fails where it runs does no harm.
+    bad = [replace(r, exception="`(`") for r in run]
+    plain = spark.createDataFrame([("x", "Nothing of the rules. " * 9)], "doc_id string, text string")
+    assert rules.rule_hits(segments.segments(plain), bad).collect() == []
