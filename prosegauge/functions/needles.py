@@ -83,6 +83,12 @@ def guard(text: str, found: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {quoted(x)})" for x in found) + ")"
 
 
+def counted(text: str, pattern: str) -> str:
+    """SQL: matches of a pattern in a text, met only where one of its needles is."""
+    found, count = needles(pattern), f"regexp_count({text}, {quoted(pattern)})"
+    return f"(CASE WHEN {guard(text, found)} THEN {count} ELSE 0 END)" if found else count
+
+
 def screen(found: list[str]) -> str:
     """A character class that some character of every string falls in, as one pass over a text: Hangul
     as a whole, of other strings the first character that is not a letter, digit or space."""
